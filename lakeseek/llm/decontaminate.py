@@ -16,10 +16,12 @@ as strings; a null item id is left out of the id list, but its words count.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,12 +173,12 @@ def build_index(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 10) -> DataFrame:
     """One row a document: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``."""
-    index = docs.sparkSession.sparkContext.broadcast(build_index(benchmark, window=window))
+    index = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build_index(benchmark, window=window)))
     docs = docs.select(F.col(doc_id), F.col(text))
     schema = docs.select(doc_id).schema.add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
+        ix = pickle.loads(index.value)
         none = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             for part, buf, off in tx.slices(batch, text):
@@ -200,12 +202,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     is cut out, with one blank left in its place. A document is dropped where
     covered words exceed ``max_coverage`` of its words. Columns stay as they are.
     """
-    index = docs.sparkSession.sparkContext.broadcast(build_index(benchmark, window=window))
+    index = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(build_index(benchmark, window=window)))
     schema, names = docs.schema, docs.columns
     where = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
+        ix = pickle.loads(index.value)
         for batch in batches:
             for part, buf, off in tx.slices(batch, text):
                 w = tx.scan(buf, off, tx.ALNUM, lower=True)

@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_rules import quality_report
+from .suffix_dedup import substring_dedup
 from .token_binary import token_binary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=2, percent=60)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op4_quality_rules, op5_mix_sources, op7_token_binary, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op3_suffix_dedup, op4_quality_rules, op5_mix_sources, op7_token_binary, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
