@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .html_extract import extract_main_text
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_rules import quality_report
@@ -51,10 +52,14 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), tokenizer_path(), end=2)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op3_suffix_dedup, op4_quality_rules, op5_mix_sources, op7_token_binary, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op3_suffix_dedup, op4_quality_rules, op5_mix_sources, op7_token_binary, op8_html_extract, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
