@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .html_extract import extract_main_text
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_report
 from .suffix_dedup import substring_dedup
 from .token_binary import token_binary
@@ -56,10 +57,14 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), max_documents=6000, max_passages=64)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op3_suffix_dedup, op4_quality_rules, op5_mix_sources, op7_token_binary, op8_html_extract, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op3_suffix_dedup, op4_quality_rules, op5_mix_sources, op7_token_binary, op8_html_extract, op9_quality_classifier, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
