@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .html_extract import extract_main_text
+from .license_scan import license_scan
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_report
+from .substring_chain import fuzzy_passages
 from .suffix_dedup import substring_dedup
 from .token_binary import token_binary
 
@@ -37,6 +39,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=2, percent=60)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), length=200)
 
@@ -49,6 +55,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), source_weights, share=1.5, max_copies=2)
 
 
+def op6_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_passages(_table(spark, sf_dir, "documents"), min_words=50, min_share=0.8)
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(_table(spark, sf_dir, "documents"), tokenizer_path(), end=2)
 
@@ -65,6 +75,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op3_suffix_dedup, op4_quality_rules, op5_mix_sources, op7_token_binary, op8_html_extract, op9_quality_classifier, op10_decontaminate)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_license_scan, op3_suffix_dedup, op4_quality_rules, op5_mix_sources, op6_fuzzy_passages, op7_token_binary, op8_html_extract, op9_quality_classifier, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
