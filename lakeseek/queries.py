@@ -212,7 +212,11 @@ def event_log(spark: SparkSession, sf_dir: str, stops: bool = False) -> DataFram
 
 
 _LOG = "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS document_id, event_id, epoch_us(ts) / 1e6 AS ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS version FROM events), v AS (SELECT document_id, event_id, version, ts AS valid_from, lead(ts) OVER (PARTITION BY document_id ORDER BY version) AS valid_to FROM e) "
-_SHOWN = ["document_id", "version", F.round("valid_from", 5).alias("valid_from"), F.round("valid_to", 5).alias("valid_to"), "is_active"]
+def _shown() -> list:
+    return ["document_id", "version", F.round("valid_from", 5).alias("valid_from"), F.round("valid_to", 5).alias("valid_to"), "is_active"]
+
+
+
 _SHOWN_SQL = "SELECT document_id, version, round(valid_from, 5) AS valid_from, round(valid_to, 5) AS valid_to, valid_to IS NULL AS is_active FROM v"
 
 
@@ -221,27 +225,27 @@ def version_history(spark, sf_dir):
     log = event_log(spark, sf_dir)
     points = log.select("document_id", "version", "ingest_id")
     v = validity(log)
-    return history(v, points).select("document_id", "version", "chunk_count").join(v.select(*_SHOWN), ["document_id", "version"])
+    return history(v, points).select("document_id", "version", "chunk_count").join(v.select(*_shown()), ["document_id", "version"])
 
 
 @query(_LOG + _SHOWN_SQL + f" WHERE valid_from <= {AS_OF} AND (valid_to IS NULL OR valid_to > {AS_OF})")
 def asof_filter(spark, sf_dir):
-    return validity(event_log(spark, sf_dir)).where(TemporalFilter(as_of=AS_OF).predicate()).select(*_SHOWN)
+    return validity(event_log(spark, sf_dir)).where(TemporalFilter(as_of=AS_OF).predicate()).select(*_shown())
 
 
 @query(_LOG + _SHOWN_SQL + " WHERE version = 3")
 def version_filter(spark, sf_dir):
-    return validity(event_log(spark, sf_dir)).where(TemporalFilter.of({"version": 3}).predicate()).select(*_SHOWN)
+    return validity(event_log(spark, sf_dir)).where(TemporalFilter.of({"version": 3}).predicate()).select(*_shown())
 
 
 @query(_LOG + _SHOWN_SQL + " WHERE valid_to IS NULL")
 def active_filter(spark, sf_dir):
-    return validity(event_log(spark, sf_dir)).where(TemporalFilter().predicate()).select(*_SHOWN)
+    return validity(event_log(spark, sf_dir)).where(TemporalFilter().predicate()).select(*_shown())
 
 
 @query(_LOG + _SHOWN_SQL)
 def all_versions(spark, sf_dir):
-    return validity(event_log(spark, sf_dir)).where(every(TemporalFilter(include_inactive=True).predicate())).select(*_SHOWN)
+    return validity(event_log(spark, sf_dir)).where(every(TemporalFilter(include_inactive=True).predicate())).select(*_shown())
 
 
 @query(
@@ -252,7 +256,7 @@ def all_versions(spark, sf_dir):
     "SELECT n.document_id, n.version, round(n.ts, 5) AS valid_from, round(CASE WHEN n.next IS NULL THEN s.stop WHEN s.stop IS NULL THEN n.next ELSE least(n.next, s.stop) END, 5) AS valid_to, n.next IS NULL AND s.stop IS NULL AS is_active FROM n LEFT JOIN s ON s.document_id = n.document_id AND s.event_id = n.event_id"
 )
 def deactivate(spark, sf_dir):
-    return validity(event_log(spark, sf_dir, stops=True)).select(*_SHOWN)
+    return validity(event_log(spark, sf_dir, stops=True)).select(*_shown())
 
 
 # -- metadata --------------------------------------------------------------------------------------
