@@ -75,6 +75,29 @@ def model_dense(df: DataFrame, text: str, make: Callable[[], DenseEmbedder], que
     return df.mapInArrow(run, schema)
 
 
+def model_sparse(df: DataFrame, text: str, make: Callable[[], SparseEmbedder], queries: bool = False, batch: int = 64) -> DataFrame:
+    """All columns and ``sparse``: term ids and weights by ascending id, without weights of zero or less; no term, no vector."""
+    names = df.columns
+    kind = pa.struct([("indices", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "sparse struct<indices:array<bigint>,values:array<double>>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        call = model.embed_queries if queries else model.embed_documents
+        for rows in batches:
+            for lo in range(0, rows.num_rows, batch):
+                part = rows.slice(lo, batch)
+                texts = [t or "" for t in part.column(names.index(text)).to_pylist()]
+                got = call(texts)
+                if len(got) != len(texts):
+                    raise EmbeddingError(f"{len(got)} sparse vectors for {len(texts)} texts")
+                cells = [sorted((int(i), float(w)) for i, w in v.items() if w > 0) for v in got]
+                out = [{"indices": [i for i, _ in c], "values": [w for _, w in c]} if c else None for c in cells]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, kind)], names=[*names, "sparse"])
+
+    return df.mapInArrow(run, schema)
+
+
 def unit(vector: Sequence[float]) -> list[float]:
     """A vector of length one; zeros stay."""
     n = math.sqrt(sum(x * x for x in vector))

@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..errors import ChunkingError, ConfigurationError
+from ..errors import ConfigurationError
 from ..functions import expr
 from ..functions.types import document_type as typed
 from ..functions.types import normalise_type, utc_now
 from ..operators import search
-from ..operators.chunk import chunk_documents
-from ..operators.embed import hash_dense, model_dense
+from ..operators.chunk import CHUNK_FIELDS, chunk_documents
+from ..operators.embed import hash_dense, model_dense, model_sparse
 from ..operators.expand import expand
-from ..sources.files import read_documents
+from ..sources.files import chunk_pdf, read_bytes, read_documents
 from .filters import TemporalFilter, every, metadata, require
 from .store import Store
 
@@ -36,6 +36,7 @@ def retrieve_from(
     include_parents: bool = True,
     dense: Callable[[DataFrame], DataFrame] | None = None,
     rerank: Callable[[list[tuple[str, str]]], list[float]] | None = None,
+    sparse: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The whole pipeline over current points for (``query_id``, ``query``) rows and optional ``variant`` rows.
 
@@ -55,7 +56,10 @@ def retrieve_from(
     as_queries = asked.select(F.col("_key").alias("query_id"), "query")
     vectors = hash_dense(as_queries, "query_id", "query", s.dense_dimension) if dense is None else dense(as_queries)
     near = search.dense_topk(vectors, searchable.where(F.col("dense").isNotNull()), s.per_query_limit)
-    words = search.bm25_topk(as_queries, searchable, s.per_query_limit, collection=points if s.idf_scope == "collection" else None, k1=s.bm25_k1, b=s.bm25_b)
+    if sparse is not None:
+        words = search.sparse_dot_topk(sparse(as_queries).where(F.col("sparse").isNotNull()), searchable.where(F.col("sparse").isNotNull()), s.per_query_limit)
+    else:
+        words = search.bm25_topk(as_queries, searchable, s.per_query_limit, collection=points if s.idf_scope == "collection" else None, k1=s.bm25_k1, b=s.bm25_b)
     names = asked.select(F.col("_key"), F.col("query_id").alias("_q"), "variant")
     lists = []
     for offset, found in enumerate((near, words)):
@@ -90,15 +94,17 @@ def build_points(chunks: DataFrame) -> DataFrame:
 class Lakeseek:
     """A store with settings and optional plug-ins.
 
-    ``embedder``: a factory of a dense model, called on workers; ``reranker``: a
-    function that scores pairs; ``complete``: a language model for expansion.
+    ``embedder``, ``sparse_embedder``: factories of models, called on workers;
+    ``reranker``: a function that scores pairs; ``complete``: a language model for expansion.
     """
 
-    def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None, embedder: Callable | None = None, reranker: Callable | None = None, complete: Callable[[str], str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None, embedder: Callable | None = None, sparse_embedder: Callable | None = None, reranker: Callable | None = None, complete: Callable[[str], str] | None = None):
         self.spark, self.s = spark, settings or Settings.from_env()
-        self.embedder, self.reranker, self.complete = embedder, reranker, complete
+        self.embedder, self.sparse_embedder, self.reranker, self.complete = embedder, sparse_embedder, reranker, complete
         if self.s.dense_backend == "plugin" and embedder is None:
             raise ConfigurationError("dense_backend 'plugin' needs an embedder")
+        if self.s.sparse_backend == "plugin" and sparse_embedder is None:
+            raise ConfigurationError("sparse_backend 'plugin' needs a sparse embedder")
         if self.s.rerank_backend == "plugin" and reranker is None:
             raise ConfigurationError("rerank_backend 'plugin' needs a reranker")
         if self.s.expansion_backend == "plugin" and complete is None:
@@ -120,8 +126,6 @@ class Lakeseek:
 
         Rows of one document become successive versions in the order of ``seq``.
         """
-        now = now or utc_now()
-        ingest = uuid.uuid4().hex
         for name, kind in (("source", "string"), ("meta", "string"), ("seq", "long")):
             if name not in docs.columns:
                 docs = docs.withColumn(name, F.lit(None).cast(kind))
@@ -130,12 +134,21 @@ class Lakeseek:
         last = self.store.latest().select("document_id", F.col("version").alias("_last"))
         docs = docs.withColumn("_nth", F.row_number().over(order)).join(last, "document_id", "left")
         docs = docs.withColumn("version", (F.coalesce("_last", F.lit(0)) + F.col("_nth")).cast("int")).drop("_nth", "_last", "seq")
-        chunks = build_points(chunk_documents(docs, self.s))
+        return self._write(chunk_documents(docs, self.s), now)
+
+    def _write(self, chunks: DataFrame, now: datetime | None) -> DataFrame:
+        """Embeds chunks of new versions, appends them, then their events."""
+        now, ingest = now or utc_now(), uuid.uuid4().hex
+        chunks = build_points(chunks)
         ts = now.timestamp()
         if self.embedder is None:
             chunks = chunks.join(hash_dense(chunks.select("point_id", "content"), "point_id", "content", self.s.dense_dimension), "point_id")
         else:
             chunks = model_dense(chunks, "content", self.embedder)
+        if self.sparse_embedder is None:
+            chunks = chunks.withColumn("sparse", F.lit(None).cast("struct<indices:array<bigint>,values:array<double>>"))
+        else:
+            chunks = model_sparse(chunks, "content", self.sparse_embedder)
         points = chunks.withColumn("valid_from", F.lit(ts)).withColumn("valid_from_iso", F.lit(now.isoformat())).withColumn("ingest_id", F.lit(ingest)).withColumn("meta", F.coalesce("meta", F.lit("{}")))
         self.store.upsert(points)
         new = self.store.points().where(F.col("ingest_id") == ingest).select("document_id", "version").distinct()
@@ -164,12 +177,24 @@ class Lakeseek:
 
     def ingest_document(self, path: str, document_type: str, metadata: Mapping[str, Any] | None = None) -> str:
         """Ingests one file; its id is ``document_id`` of the metadata, else from the file name."""
-        if normalise_type(document_type) == "pdf" or path.lower().endswith(".pdf"):
-            raise ChunkingError("PDF files go through sources.files.pdf_text, which needs pdfplumber")
-        row = read_documents(self.spark, path, document_type).first()
+        kind = normalise_type(document_type)
         meta = dict(metadata or {})
+        if kind == "pdf" or path.lower().endswith(".pdf") and kind in ("legal", "text"):
+            return self._ingest_pdf(path, kind, meta)
+        row = read_documents(self.spark, path, document_type).first()
         return self.ingest_text(row["content"], document_type, {"document_id": row["document_id"]} | meta, row["source"])
 
+    def _ingest_pdf(self, path: str, kind: str, meta: dict) -> str:
+        raw, source = read_bytes(self.spark, path)
+        pieces = chunk_pdf(raw, kind, str(meta.get("domain", "")), self.s, source)
+        given = meta.pop("document_id", None)
+        name = str(given or self.spark.range(1).select(expr.slug(expr.stem(F.lit(source)))).first()[0] or uuid.uuid4().hex)
+        last = self.store.latest().where(F.col("document_id") == name).first()
+        rows = [(name, kind, source, json.dumps(meta, ensure_ascii=False), (last["version"] if last else 0) + 1, p.serial, p.parent, p.kind, p.role, p.path, p.searchable, p.tokens, p.content, json.dumps(p.extra, ensure_ascii=False, sort_keys=True)) for p in pieces]
+        fields = "document_id string, document_type string, source string, meta string, version int, " + CHUNK_FIELDS.rpartition(", ")[0]
+        self._write(self.spark.createDataFrame(rows, fields), None)
+        return name
+
     def retrieve(self, queries: DataFrame, limit: int = 5, temporal_filter: Any = None, metadata_filter: Mapping[str, Any] | None = None, include_parent_context: bool = True) -> DataFrame:
         """Result rows for (``query_id``, ``query``) rows."""
         if limit < 1:
@@ -177,7 +202,8 @@ class Lakeseek:
         require(self.s.required_filter_keys, metadata_filter)
         where = every(TemporalFilter.of(temporal_filter).predicate(), metadata(metadata_filter))
         dense = None if self.embedder is None else lambda q: model_dense(q, "query", self.embedder, queries=True)
-        return retrieve_from(self.store.current(), queries.withColumn("query", expr.strip(F.col("query"))), self.s, limit, where, include_parent_context, dense, self.reranker)
+        sparse = None if self.sparse_embedder is None else lambda q: model_sparse(q, "query", self.sparse_embedder, queries=True)
+        return retrieve_from(self.store.current(), queries.withColumn("query", expr.strip(F.col("query"))), self.s, limit, where, include_parent_context, dense, self.reranker, sparse)
 
     def retrieve_one(self, query: str, limit: int = 5, temporal_filter: Any = None, metadata_filter: Mapping[str, Any] | None = None, include_parent_context: bool = True) -> list[dict]:
         """Result dictionaries for one query, best first, with expansion if there is a language model."""

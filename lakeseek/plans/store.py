@@ -17,7 +17,7 @@ from ..errors import ConfigurationError, StoreError
 
 POINTS = (
     "point_id string, document_id string, document_type string, source string, chunk_type string, chunk_role string, searchable boolean, sequence int, hierarchy array<string>, parent_point_id string, "
-    "version int, valid_from double, valid_from_iso string, token_estimate int, content string, meta string, chunk_extra string, dense array<double>, ingest_id string"
+    "version int, valid_from double, valid_from_iso string, token_estimate int, content string, meta string, chunk_extra string, dense array<double>, sparse struct<indices:array<bigint>,values:array<double>>, ingest_id string"
 )
 EVENTS = "document_id string, event_seq long, ingest_id string, kind string, version int, before_version int, ts double, ts_iso string"
 
@@ -88,7 +88,7 @@ class Store:
         """Appends points that the table lacks by (point_id, ingest_id); rows of a document lie together, so its statistics prune."""
         have = self.points().select("point_id", "ingest_id")
         fresh = points.join(have, ["point_id", "ingest_id"], "left_anti")
-        names = [c.split()[0] for c in POINTS.split(", ")]
+        names = [f.name for f in self.points().schema]
         fresh.select(*names).repartition("document_id").sortWithinPartitions("document_id", "version", "sequence").write.mode("append").parquet(f"{self.path}/points")
 
     def _next_seq(self) -> int:

@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DocumentLoadError
+from ..config import Settings
+from ..errors import ChunkingError, DocumentLoadError
 from ..functions import expr
+from ..functions.types import ALIASES
 from ..functions.types import document_type as typed
+from ..operators.chunk import clean_up, counter
+from ..operators.structured import Piece, legal, plain
 
 
 def decode(raw) -> F.Column:
@@ -28,6 +32,44 @@ def read_documents(spark: SparkSession, paths: Sequence[str] | str, document_typ
     return df.select(expr.slug(expr.stem(name)).alias("document_id"), typed(F.lit(document_type)).alias("document_type"), name.alias("source"), decode(F.col("content")).alias("content"))
 
 
+def read_bytes(spark: SparkSession, path: str) -> tuple[bytes, str]:
+    """The bytes of one file, and its name."""
+    try:
+        row = spark.read.format("binaryFile").load(path).select("content", F.regexp_replace("path", r"^.*/", "").alias("name")).first()
+    except Exception as e:
+        raise DocumentLoadError(f"can't read {path}: {str(e).splitlines()[0]}") from e
+    if row is None:
+        raise DocumentLoadError(f"no file {path}")
+    return bytes(row["content"]), row["name"]
+
+
+def table_markdown(rows: Sequence[Sequence | None]) -> str:
+    """``expr.markdown_table`` for one table on the driver or in a task."""
+    clean = [[" ".join(str("" if c is None else c).split("\n")).replace("|", "\\|").strip() for c in r] for r in rows if r is not None]
+    clean = [r for r in clean if any(r)]
+    if len(clean) < 2:
+        return ""
+    width = max(map(len, clean))
+    line = lambda r: "| " + " | ".join(r + [""] * (width - len(r))) + " |"
+    return "\n".join([line(clean[0]), "|" + "|".join([" --- "] * width) + "|", *map(line, clean[1:])])
+
+
+def chunk_pdf(raw: bytes, kind: str, domain: str, s: Settings, source: str = "") -> list[Piece]:
+    """Chunks of a PDF: its text as a contract or plainly, then each table by itself with its page."""
+    text, tables = pdf_text(raw, s.labels["page"])
+    count = counter(s)
+    is_legal = kind == "legal" or ALIASES.get(domain.lower()) == "legal"
+    out = (legal if is_legal else plain)(text, s, count, source)
+    for page, rows, context in tables:
+        if body := table_markdown(rows):
+            where = f"{s.labels['page']} {page}"
+            out.append(Piece(f"[{s.labels['context']}: {where}{f' – {context}' if context else ''}]\n\n{body}", "table", path=[where], extra={"page": page, "isolated_structure": True}))
+    out = clean_up(out, s, count)
+    if not out:
+        raise ChunkingError(f"{source!r} gives no chunk (keine Chunks)")
+    return out
+
+
 def pdf_text(raw: bytes, page_label: str = "Seite") -> tuple[str, list[tuple[int, list, str]]]:
     """Text with page marks, and (page, rows, context) of each table; needs pdfplumber."""
     try:

@@ -232,6 +232,52 @@ def test_ingest_checks(spark, engine, tmp_path):
             pdf_text(b"")
 
 
+class Words:
+    def embed_documents(self, texts):
+        return [{len(w): 1.0 for w in t.split()} for t in texts]
+
+    embed_queries = embed_documents
+
+
+class FakePage:
+    def __init__(self, text, tables):
+        self.text, self.tables = text, tables
+
+    def extract_text(self):
+        return self.text
+
+    def extract_tables(self):
+        if self.tables is None:
+            raise RuntimeError("no tables")
+        return self.tables
+
+
+class FakePdf:
+    pages = [FakePage("Preise\nsiehe unten", [[["plan", None], ["gold|x", "20"]], [["one row"]]]), FakePage("Ende", None)]
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+def test_pdf_and_sparse_plug_ins(spark, tmp_path, monkeypatch):
+    import sys
+    import types
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda f: FakePdf()))
+    (tmp_path / "Liste A.pdf").write_bytes(b"%PDF")
+    e = Lakeseek(spark, str(tmp_path / "s"), Settings(sparse_backend="plugin"), sparse_embedder=Words)
+    assert e.ingest_document(str(tmp_path / "Liste A.pdf"), "pdf") == "liste-a"
+    rows = e.store.current().orderBy("sequence").collect()
+    table = next(r for r in rows if r.chunk_type == "table")
+    assert table.hierarchy == ["Seite 1"] and "| gold\\|x | 20 |" in table.content and "[Seite 2]" in rows[0].content
+    assert rows[0].sparse["values"] and e.retrieve_one("gold", 3)[0]["document_id"] == "liste-a"
+    with pytest.raises(ConfigurationError):
+        Lakeseek(spark, str(tmp_path / "s"), Settings(sparse_backend="plugin"))
+
+
 def test_batches_and_streams(spark, tmp_path):
     e = Lakeseek(spark, str(tmp_path / "s"))
     docs = spark.createDataFrame([("d", "text", "first words", 1), ("d", "text", "second words", 2), ("e", "text", "third", 1)], "document_id string, document_type string, content string, seq long")
