@@ -13,6 +13,7 @@ repeated rows are separate documents.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,7 +77,7 @@ def route(patterns: dict[tuple, int], target: dict, max_copies: int = 2, cost: C
             if s in target:
                 uses[p, s] = arc(node[("p", p)], node[("q", s)], max_copies * patterns[p], 0)
     for s in srcs:
-        arc(node[("q", s)], 1, int(round(target[s])), 0)
+        arc(node[("q", s)], 1, math.floor(target[s] + 0.5), 0)
     potential = [0] * len(node)
     while True:
         far, via = [None] * len(node), [-1] * len(node)
