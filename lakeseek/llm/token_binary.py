@@ -22,6 +22,7 @@ import json
 import struct
 import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,11 +159,9 @@ class Memo:
             rest = rest[(e >= 0) & (self.key[e] != h[rest])]
         return out
 
-    def add(self, h: np.ndarray, runs: list[np.ndarray]) -> None:
-        """Adds hashes that it doesn't hold, all different."""
+    def add(self, h: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Adds hashes that it doesn't hold, all different, with their runs of ids in a row."""
         n, first = len(h), self.n
-        size = np.fromiter(map(len, runs), np.int64, n)
-        ids = np.concatenate(runs) if n else self.pool[:0]
         while self.n + n > len(self.key):
             self.key, self.at, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.key, self.at, self.len))
         while self.used + len(ids) > len(self.pool):
@@ -207,7 +206,7 @@ class TokenIds:
 
         self.tok = Tokenizer.from_file(path)
         size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
         spec = json.loads(open(path, encoding="utf-8").read())
         self.by_word = self._cuts_at_blanks(spec)
         self.memo, self.pieces = Memo(self.kind, bits), {}
@@ -234,30 +233,33 @@ class TokenIds:
             and spec.get("model", {}).get("type") == "BPE"
         )
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            text = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
-            ids = [t.id for t in self.model.tokenize(text)]
-            if len(self.pieces) < 150_000:
-                self.pieces[piece] = ids
+    def _piece(self, piece: str) -> bytes:
+        text = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
+        ids = array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
+        if len(self.pieces) < 300_000:
+            self.pieces[piece] = ids
         return ids
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        known, cut, plain, make = self.pieces, self.cut.findall, self.plain.fullmatch, self._piece
+        out: list = []
         rare = []
         for i, w in enumerate(words):
-            if self.plain.fullmatch(w):
-                ids = []
-                for piece in self.cut.findall(w.lower()):
-                    ids += self._piece(piece)
-                out[i] = np.array(ids, self.kind)
+            if plain(w):
+                parts = cut(w.lower())
+                if len(parts) == 1:
+                    out.append(known.get(parts[0]) or make(parts[0]))
+                else:
+                    out.append(b"".join([known.get(p) or make(p) for p in parts]))
             else:
+                out.append(b"")
                 rare.append(i)
         if rare:
             for i, e in zip(rare, self.tok.encode_batch([words[i] for i in rare], add_special_tokens=False)):
-                out[i] = np.array(e.ids, self.kind)
-        return out
+                out[i] = array(self.code, e.ids).tobytes()
+        width = np.dtype(self.kind).itemsize
+        return np.frombuffer(b"".join(out), self.kind), np.fromiter(map(len, out), np.int64, len(out)) // width
 
     def __call__(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents in a row, each with the end id, and their numbers."""
@@ -275,7 +277,7 @@ class TokenIds:
             h, one = np.unique(w.hash[miss], return_index=True)
             at = miss[one]
             raw = buf.tobytes()
-            self.memo.add(h, self.encode_words([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]))
+            self.memo.add(h, *self.encode_words([raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]))
             entry[miss] = self.memo.find(w.hash[miss])
         size = self.memo.len[entry]
         ends = np.concatenate([[0], np.cumsum(size)])
