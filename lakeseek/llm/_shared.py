@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,9 +23,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps: it does so once nothing on the driver refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     """Deletes a table that ``written`` made."""
     paths = [df_or_path] if isinstance(df_or_path, str) else df_or_path.inputFiles()[:1]
