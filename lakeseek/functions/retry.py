@@ -16,9 +16,10 @@ def is_transient(e: BaseException) -> bool:
     """Time-outs, broken connections and the usual HTTP states are worth another try."""
     if isinstance(e, (TimeoutError, ConnectionError)):
         return True
-    status = getattr(e, "status_code", None) or getattr(getattr(e, "response", None), "status_code", None)
-    if isinstance(status, int):
-        return status in _STATUS
+    states = [getattr(x, "status_code", None) for x in (e, getattr(e, "response", None))]
+    known = [s for s in states if type(s) is int]
+    if known:
+        return known[0] in _STATUS
     return any(w in f"{type(e).__name__} {e}".lower() for w in _WORDS)
 
 

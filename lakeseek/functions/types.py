@@ -22,7 +22,7 @@ ALIASES = {
 
 def normalise_type(raw: str) -> str:
     """The document type that a name or alias means."""
-    found = ALIASES.get(str(raw).strip().lower().replace("-", "_"))
+    found = ALIASES.get("_".join(str(raw).lower().strip().split("-")))
     if found is None:
         raise ValueError(f"unknown document type {raw!r}; known: {sorted(ALIASES)}")
     return found

@@ -13,19 +13,29 @@ from .split import Counter, cap, estimate, split_text
 from .structured import Piece
 
 _HINT = re.compile(r"^\s*(?:class |def |from \w|import )", re.M)
-_NAME = r"([A-Za-z_$][\w$]*)"
-_EXPORT = r"\s*(?:export\s+)?"
+_NAME = r"([$A-Z_a-z][$\w]*)"
+_GO_NAME = r"([A-Za-z_]\w*)"
+
+
+def _maybe(word: str) -> str:
+    return rf"(?:{word}\s+)?"
+
+
+_EQUALS = r"\s*=\s*"
+_PARENS = r"\([^)]*\)"
+_START = r"\s*"
+_EXPORT = _START + _maybe("export")
 #: Signatures that open a unit: the first group, if any, is its name.
 _OPENERS = tuple(
     map(
         re.compile,
         (
-            rf"{_EXPORT}(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME}?\s*\(",
-            rf"{_EXPORT}(?:abstract\s+|public\s+)?class\s+{_NAME}",
-            rf"{_EXPORT}(?:var|let|const)\s+{_NAME}\s*=\s*(?:async\s*)?(?:{_NAME[1:-1]}|\([^)]*\))\s*=>",
-            r"\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(",
-            r"\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)",
-            r"\s*(?:static|internal|protected|private|public)[\w\s<>,\[\]]*\s([A-Za-z_]\w*)\s*\([^;]*\)\s*\{?\s*\Z",
+            _EXPORT + _maybe("default") + _maybe("async") + r"function\s*\*?\s*" + _NAME + r"?\s*\(",
+            _EXPORT + _maybe("abstract|public") + r"class\s+" + _NAME,
+            _EXPORT + r"(?:var|let|const)\s+" + _NAME + _EQUALS + r"(?:async\s*)?" + "(?:" + _NAME[1:-1] + "|" + _PARENS + r")\s*=>",
+            _START + r"func\s+(?:" + _PARENS + r"\s*)?" + _GO_NAME + r"\s*\(",
+            _START + _maybe(f"pub(?:{_PARENS})?") + _maybe("async") + r"fn\s+" + _GO_NAME,
+            _START + r"(?:static|internal|protected|private|public)[\w\s<>,\[\]]*\s" + _GO_NAME + r"\s*\([^;]*\)" + r"\s*\{?\s*\Z",
         ),
     )
 )
@@ -170,7 +180,7 @@ def braces(text: str, s: Settings, count: Counter = estimate, source: str = "")
             k = k + 1 if end is None else end + 1
 
     found = list(units())
-    out = [Piece(head + "\n".join(lines[a:b]), "code_unit", extra={"kind": "unit", "qualname": name}) for a, b, name in found]
+    out = [Piece(head + "\n".join(lines[a:b]), "code_unit", extra={"qualname": name, "kind": "unit"}) for a, b, name in found]
     edges = [0, *(x for a, b, _ in found for x in (a, b)), len(lines)]
     between = ["\n".join(lines[a:b]) for a, b in zip(edges[::2], edges[1::2]) if b > a]
     rest = "\n\n".join(x for x in between if x.strip())

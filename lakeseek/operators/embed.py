@@ -14,22 +14,27 @@ from ..errors import EmbeddingError
 from ..functions import expr
 
 
+Texts = Sequence[str]
+Vectors = list[list[float]]
+Weights = list[dict[int, float]]
+
+
 class DenseEmbedder(Protocol):
     """A model: ``dimension``, and vectors for documents and for queries. It is made on each worker by a factory."""
 
     dimension: int
 
-    def embed_documents(self, texts: Sequence[str]) -> list[list[float]]: ...
+    def embed_documents(self, texts: Texts) -> Vectors: ...
 
-    def embed_queries(self, texts: Sequence[str]) -> list[list[float]]: ...
+    def embed_queries(self, texts: Texts) -> Vectors: ...
 
 
 class SparseEmbedder(Protocol):
     """A model that gives term ids and weights."""
 
-    def embed_documents(self, texts: Sequence[str]) -> list[dict[int, float]]: ...
+    def embed_documents(self, texts: Texts) -> Weights: ...
 
-    def embed_queries(self, texts: Sequence[str]) -> list[dict[int, float]]: ...
+    def embed_queries(self, texts: Texts) -> Weights: ...
 
 
 def term_counts(df: DataFrame, key: str, text: str, size: int | None = None) -> DataFrame:

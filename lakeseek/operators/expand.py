@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 Complete = Callable[[str], str]
+_BULLET = re.compile(r"\s*(?:\d+[.)]|[-*•])?\s*")
 
 
 def parse_list(reply: str) -> list[str]:
@@ -19,7 +20,7 @@ def parse_list(reply: str) -> list[str]:
             continue
         if isinstance(value, list):
             return [s for s in (str(x).strip() for x in value) if s]
-    lines = (re.sub(r"^\s*(?:[-*•]|\d+[.)])\s*", "", line).strip().strip("\"'") for line in reply.splitlines())
+    lines = (line[_BULLET.match(line).end() :].strip().strip("\"'") for line in reply.splitlines())
     return [x for x in lines if len(x) > 2]
 
 

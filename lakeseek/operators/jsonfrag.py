@@ -86,7 +86,7 @@ def shape(value: Any, depth: int = 0, keys: int = 60) -> str:
         more = len(value) - keys
         return "\n".join([*rows, *([f"{pad}… ({more} weitere Schlüssel)"] if more > 0 else [])])
     if isinstance(value, list):
-        kind = type(value[0]).__name__ if value else "leer"
+        kind = "leer" if not value else type(value[0]).__name__
         line = f"{pad}Array mit {len(value)} Elementen (Typ: {kind})"
         return f"{line}\n{shape(value[0], depth + 1)}" if nested and kind == "dict" else line
     return pad + type(value).__name__
@@ -102,7 +102,7 @@ def json_fragments(text: str, s: Settings, count: Counter = estimate, source: st
     out = []
     if len(found) > 1:
         name = f" '{source}'" if source else ""
-        out.append(Piece(cap(f"{label['json_doc']}{name} – {label['json_shape']}:\n{shape(value)}", s.parent_max_tokens, label["capped"]), "section", "parent", searchable=False, extra={"json_path": "$"}))
+        out.append(Piece(cap(f"{label['json_doc']}{name} – {label['json_shape']}:\n{shape(value)}", s.parent_max_tokens, label["capped"]), "section", "parent", extra={"json_path": "$"}, searchable=False))
     parent = 0 if out else None
     out += [Piece(f"{label['json_path']}: {p}\n{body}", "json_fragment", "standalone" if parent is None else "child", parent, extra={"json_path": p}) for p, body in found]
     return out

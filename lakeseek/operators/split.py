@@ -43,7 +43,7 @@ def atoms(text: str, size: int, level: int = 0) -> Iterator[str]:
             yield from atoms(piece, size, level + 1)
 
 
-def split_text(text: str, max_tokens: int, overlap_tokens: int = 0, min_tokens: int = 1, count: Counter = estimate) -> list[str]:
+def split_text(text, max_tokens, overlap_tokens=0, min_tokens=1, count: Counter = estimate) -> list[str]:
     """Windows of at most ``max_tokens``; each begins with the tail of the one before.
 
     A last window under ``min_tokens`` joins the one before, which may then

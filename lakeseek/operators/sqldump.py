@@ -10,15 +10,18 @@ from .split import CHARS, Counter, estimate, pack
 from .structured import Piece
 
 _ID = r"([\w.\"'`\[\]]+)"
-_SCHEMA = tuple(
-    re.compile(p + _ID, re.I | re.S)
-    for p in (
-        r"\s*CREATE\s+(?:UNLOGGED\s+|TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?",
-        r"\s*ALTER\s+TABLE\s+(?:ONLY\s+)?",
-        r"\s*CREATE\s+(?:UNIQUE\s+)?INDEX\s+.*?\s+ON\s+(?:ONLY\s+)?",
-        r"\s*COMMENT\s+ON\s+(?:COLUMN|TABLE)\s+",
-    )
-)
+
+
+def _opening(words: str) -> re.Pattern:
+    """A pattern of the words that open a statement: ``a|b`` is a choice, ``a+b`` words in a row, a final ``?`` an option, ``...`` anything."""
+    parts = ["\\s*"]
+    for w in words.split():
+        word = ".*?" if w == "..." else f"(?:{w.rstrip('?')})".replace("+", "\\s+")
+        parts.append(f"(?:{word}\\s+)?" if w.endswith("?") else word + "\\s+")
+    return re.compile("".join(parts) + _ID, re.I | re.S)
+
+
+_SCHEMA = tuple(map(_opening, ("CREATE UNLOGGED|TEMPORARY? TABLE IF+NOT+EXISTS?", "ALTER TABLE ONLY?", "CREATE UNIQUE? INDEX ... ON ONLY?", "COMMENT ON COLUMN|TABLE")))
 _INSERT = re.compile(r"\s*INSERT\s+INTO\s+" + _ID, re.I)
 _COPY = re.compile(r"\s*COPY\s+" + _ID, re.I)
 _COPY_LINE = re.compile(r"\s*COPY\s.*FROM\s+stdin;?\s*\Z", re.I)
@@ -124,7 +127,9 @@ def sql_dump(text: str, s: Settings, count: Counter = estimate, source: str = ""
     out, place = [], {}
     for table, sts in schema.items():
         place[table] = len(out)
-        out.append(Piece(f"-- {label['schema']}: {table}\n" + "\n\n".join(sts), "sql_statement", "parent" if table in with_data else "standalone", extra={"table": table, "kind": "schema"}))
+        title = f"-- {label['schema']}: {table}"
+        role = "parent" if table in with_data else "standalone"
+        out.append(Piece(title + "\n" + "\n\n".join(sts), "sql_statement", role, extra={"kind": "schema", "table": table}))
 
     def data(table: str, content: str, **extra) -> None:
         out.append(Piece(content, "sql_statement", "child" if table in place else "standalone", place.get(table), extra={"table": table, **extra}))

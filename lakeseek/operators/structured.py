@@ -35,7 +35,9 @@ class Block(NamedTuple):
 
 Heading = Callable[[str], "tuple[int, str] | None"]
 
-_ATX = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*\Z")
+_ATX = re.compile(r"#+(?=\s)")
+Found = "tuple[int, str] | None"
+_NUMBER = r"(\d+(?:\.\d+)*)"
 _ROW = re.compile(r"\s*\|.*\|\s*\Z")
 _RULE = re.compile(r"\s*\|?(?:\s*:?--+:?\s*\|)*\s*:?--+:?\s*\|?\s*\Z")
 _FENCE = re.compile(r"\s*(```|~~~)")
@@ -144,20 +146,21 @@ def structured(text: str, heading: Heading, s: Settings, body: Callable[[str], l
     return out
 
 
-# -- Markdown --------------------------------------------------------------------------------------
+# Markdown
 
 
-def markdown_heading(line: str) -> tuple[int, str] | None:
+def markdown_heading(line: str) -> Found:
     m = _ATX.match(line)
-    return (len(m[1]), m[2].strip()) if m else None
+    return (len(m[0]), line[m.end() :].strip().rstrip("#").strip()) if m and len(m[0]) < 7 else None
 
 
 def markdown(text: str, s: Settings, count: Counter = estimate, source: str = "") -> list[Piece]:
     return structured(text, markdown_heading, s, lambda b: split_text(b, s.chunk_max_tokens, s.chunk_overlap_tokens, s.min_chunk_tokens, count), "text", count)
 
 
-# -- contracts and statutes ------------------------------------------------------------------------
+# contracts and statutes
 
+_ARTICLE = r"\s*\d+(?:\s*[a-z])?\b"
 _NUMERAL = r"\s+(?:\d+|[IVXLCDM]+)\b"
 _LEGAL = tuple(
     (re.compile(p, f), level)
@@ -166,15 +169,15 @@ _LEGAL = tuple(
         (2, rf"(?:Unterabschnitt|Abschnitt|Kapitel|Titel){_NUMERAL}", re.I),
         (2, r"(?:Annex|Appendix|Anhang|Anlage)", re.I),
         (2, r"(?:Preamble|Präambel)\s*:?\s*\Z", re.I),
-        (3, r"§§?\s*\d+\s*[a-z]?\b", 0),
-        (3, r"Art(?:\.|ikel)\s*\d+\s*[a-z]?\b", re.I),
+        (3, "§§?" + _ARTICLE, 0),
+        (3, r"Art(?:\.|ikel)" + _ARTICLE, re.I),
     )
 )
-_CLAUSE = re.compile(r"(\d+(?:\.\d+)*)[).]?\s+(?=[('\"§A-ZÄÖÜ])")
+_CLAUSE = re.compile(_NUMBER + r"[).]?\s+(?=[('\"§A-ZÄÖÜ])")
 _PARAGRAPH = re.compile(r"^(?=\(\d+\)\s)", re.M)
 
 
-def legal_heading(line: str) -> tuple[int, str] | None:
+def legal_heading(line: str) -> Found:
     """Headings by keyword, § or article, or a short numbered clause; the level follows the kind."""
     flat = line.strip()
     if not 0 < len(flat) <= 160:
@@ -196,9 +199,8 @@ def legal_body(body: str, s: Settings, count: Counter = estimate) -> list[str]:
     parts = [p for p in _PARAGRAPH.split(body) if p.strip()]
     if len(parts) < 2:
         return plain(body)
+    used, run = 0, []
     out: list[str] = []
-    run: list[str] = []
-    used = 0
     for p in parts:
         n = count(p)
         if run and (used + n > s.chunk_max_tokens):
@@ -218,12 +220,12 @@ def legal(text: str, s: Settings, count: Counter = estimate, source: str = "") -
     return structured(text, legal_heading, s, lambda b: legal_body(b, s, count), "legal_clause", count)
 
 
-# -- plain text ------------------------------------------------------------------------------------
+# plain text
 
-_NUMBERED = re.compile(r"(\d+(?:\.\d+)*)[).]?\s+\S")
+_NUMBERED = re.compile(_NUMBER + r"[).]?\s+\S")
 
 
-def plain_heading(line: str) -> tuple[int, str] | None:
+def plain_heading(line: str) -> Found:
     """A short numbered title, or a short line of capitals."""
     flat = line.strip()
     if len(flat) < 4 or len(flat) > 90 or flat[-1] in ";.,":

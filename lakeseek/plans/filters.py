@@ -19,18 +19,18 @@ _BOUNDS = {"gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c,
 class TemporalFilter:
     """``version`` wins over ``as_of``, that over ``include_inactive``; without any, active points."""
 
-    as_of: float | None = None
-    version: int | None = None
     include_inactive: bool = False
+    version: int | None = None
+    as_of: float | None = None
 
     @classmethod
     def of(cls, value: Any) -> TemporalFilter:
         if value is None or isinstance(value, cls):
             return value or cls()
-        if not isinstance(value, Mapping) or set(value) - {"as_of", "version", "include_inactive"}:
+        if not isinstance(value, Mapping) or set(value) - set(cls.__dataclass_fields__):
             raise ValueError(f"not a temporal filter: {value!r}")
         version = value.get("version")
-        return cls(parse_time(value.get("as_of")), None if version is None else int(version), bool(value.get("include_inactive", False)))
+        return cls(bool(value.get("include_inactive", False)), None if version is None else int(version), parse_time(value.get("as_of")))
 
     def predicate(self) -> Column | None:
         if self.version is not None:

@@ -157,7 +157,7 @@ class Lakeseek:
 
     def ingest_text(self, content: str, document_type: str, metadata: Mapping[str, Any] | None = None, source_name: str = "", now: datetime | None = None) -> str:
         """Ingests one text; its id is ``document_id`` of the metadata, else from the source name, else random."""
-        if not content or not content.strip():
+        if not (content or "").strip():
             raise ValueError("content must not be blank")
         kind = normalise_type(document_type)
         if kind == "pdf":
@@ -207,7 +207,7 @@ class Lakeseek:
 
     def retrieve_one(self, query: str, limit: int = 5, temporal_filter: Any = None, metadata_filter: Mapping[str, Any] | None = None, include_parent_context: bool = True) -> list[dict]:
         """Result dictionaries for one query, best first, with expansion if there is a language model."""
-        if not query or not query.strip():
+        if not (query or "").strip():
             raise ValueError("query must not be blank")
         variants = expand(query.strip(), self.complete, self.s.num_query_expansions) if self.complete and self.s.expansion_backend != "none" else []
         df = self.spark.createDataFrame([("q", k, v) for k, v in enumerate([query.strip(), *variants])], "query_id string, variant int, query string")

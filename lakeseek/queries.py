@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# -- scalar functions ------------------------------------------------------------------------------
+# scalar functions
 
 
 @query("SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0)) AS INTEGER) AS tokens FROM documents")
@@ -81,7 +81,7 @@ def query_variants(spark, sf_dir):
     return spark.createDataFrame([(k, v.lower()) for k, v in enumerate(found)], "position int, variant string")
 
 
-# -- splitting and chunking ------------------------------------------------------------------------
+# splitting and chunking
 
 
 @query(
@@ -199,7 +199,7 @@ def code_chunks(spark, sf_dir):
     return got.select("p_partkey", "n_chunks", F.transform("s", lambda x: x["n"]).alias("names"))
 
 
-# -- versions --------------------------------------------------------------------------------------
+# versions
 
 
 def event_log(spark: SparkSession, sf_dir: str, stops: bool = False) -> DataFrame:
@@ -259,7 +259,7 @@ def deactivate(spark, sf_dir):
     return validity(event_log(spark, sf_dir, stops=True)).select(*_shown())
 
 
-# -- metadata --------------------------------------------------------------------------------------
+# metadata
 
 
 def with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,7 +288,7 @@ def meta_float(spark, sf_dir):
     return m.where(metadata({"size.half": 500.0}) | metadata({"n_chars": 500})).select("doc_id")
 
 
-# -- embeddings and search -------------------------------------------------------------------------
+# embeddings and search
 
 _TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
 _BUCKET = "(('0x' || substr(md5(w), 1, 8))::BIGINT % {0})"

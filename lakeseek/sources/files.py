@@ -45,13 +45,18 @@ def read_bytes(spark: SparkSession, path: str) -> tuple[bytes, str]:
 
 def table_markdown(rows: Sequence[Sequence | None]) -> str:
     """``expr.markdown_table`` for one table on the driver or in a task."""
-    clean = [[" ".join(str("" if c is None else c).split("\n")).replace("|", "\\|").strip() for c in r] for r in rows if r is not None]
+
+    def cell(c) -> str:
+        flat = " ".join(str(c).split("\n")) if c is not None else ""
+        return "\\|".join(flat.split("|")).strip()
+
+    clean = [list(map(cell, r)) for r in rows if r is not None]
     clean = [r for r in clean if any(r)]
     if len(clean) < 2:
         return ""
     width = max(map(len, clean))
     line = lambda r: "| " + " | ".join(r + [""] * (width - len(r))) + " |"
-    return "\n".join([line(clean[0]), "|" + "|".join([" --- "] * width) + "|", *map(line, clean[1:])])
+    return "\n".join([line(clean[0]), "|" + " --- |" * width, *map(line, clean[1:])])
 
 
 def chunk_pdf(raw: bytes, kind: str, domain: str, s: Settings, source: str = "") -> list[Piece]:

@@ -53,7 +53,7 @@ def window_reference(text, size, overlap, least):
             return [t]
         if level == 4:
             return [t[i : i + size] for i in range(0, len(t), size)]
-        pattern = [r"\n{2,}", r"\n", r"(?<=[.!?;:])\s", r"\s+"][level]
+        pattern = (r"\n\n+", "\n", r"(?<=[;:?!.])\s", r"\s\s*")[level]
         bounds = [0, *(m.end() for m in re.finditer(pattern, t)), len(t)]
         return [a for x, y in zip(bounds, bounds[1:]) if y > x for a in cut(t[x:y], level + 1)]
 
