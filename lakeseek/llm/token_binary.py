@@ -42,7 +42,7 @@ SCALE = 20
 _U = np.uint64
 
 
-# -- coder ---------------------------------------------------------------------------------------
+# coder
 
 
 def quantise(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
@@ -131,7 +131,7 @@ class Coder:
         return out
 
 
-# -- tokenizer -----------------------------------------------------------------------------------
+# tokenizer
 
 
 class Memo:
@@ -320,7 +320,7 @@ def id_counts(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 2)
     return counts
 
 
-# -- files ---------------------------------------------------------------------------------------
+# files
 
 
 def _fs(uri: str):

@@ -24,7 +24,7 @@ def tok():
     return Tokenizer.from_file(tokenizer_path())
 
 
-# -- 7 -------------------------------------------------------------------------------------------
+# 7
 
 
 def test_tokens_come_back(docs, rows, empty, tok):
@@ -70,7 +70,7 @@ def test_coder_round_trip_checkpoints_and_checksums():
     assert (one.decode(np.frombuffer(body, "<u4"), 100, points[0]["state"]) == 2).all()
 
 
-# -- 8 -------------------------------------------------------------------------------------------
+# 8
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1><p>Best news since 1999, every single day.</p></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
@@ -104,7 +104,7 @@ def test_pages_frame(spark):
     assert hx.extract_main_text(df.limit(0)).count() == 0
 
 
-# -- 9 -------------------------------------------------------------------------------------------
+# 9
 
 
 def test_classifier_learns_and_keeps_its_fold(spark):
@@ -135,7 +135,7 @@ def test_fit_separates_bags():
     assert ((p > 0.5) == (y > 0.5)).all()
 
 
-# -- shared --------------------------------------------------------------------------------------
+# shared
 
 
 def test_components(spark):

@@ -17,7 +17,7 @@ from lakeseek.llm.queries import source_weights
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-# -- 2 -------------------------------------------------------------------------------------------
+# 2
 
 
 def test_licenses_are_found_with_their_differences(docs, rows, empty):
@@ -32,7 +32,7 @@ def test_licenses_are_found_with_their_differences(docs, rows, empty):
     assert s.rank("Released under the MIT License.")[0][1] == "MIT"
 
 
-# -- 3 -------------------------------------------------------------------------------------------
+# 3
 
 
 def substring_brute(rows, length):
@@ -83,7 +83,7 @@ def test_family_finds_every_repeat():
     assert len(family.levels) <= 8
 
 
-# -- 4 -------------------------------------------------------------------------------------------
+# 4
 
 
 def quality_brute(x):
@@ -125,7 +125,7 @@ def test_rule_order_changes_no_verdict(rows):
     assert {r.name for r in qr.plan([r[1] for r in rows])} == {r.name for r in qr.RULES}
 
 
-# -- 5 -------------------------------------------------------------------------------------------
+# 5
 
 
 def test_mix_meets_targets(docs, rows, empty):
@@ -159,7 +159,7 @@ def test_overlapping_sources(spark):
     assert {r.copies for r in out.collect()} <= {0, 1, 2}
 
 
-# -- 6 -------------------------------------------------------------------------------------------
+# 6
 
 
 def test_passages_of_fifty_words(docs, rows, empty):
@@ -196,7 +196,7 @@ def test_alignment_and_chains():
     assert [c.tolist() for c in sc.chains(x, x + 7)] == [[0, 1, 2], [3, 4, 5]]
 
 
-# -- 10 ------------------------------------------------------------------------------------------
+# 10
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
