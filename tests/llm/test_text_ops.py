@@ -196,6 +196,24 @@ def test_alignment_and_chains():
     assert [c.tolist() for c in sc.chains(x, x + 7)] == [[0, 1, 2], [3, 4, 5]]
 
 
+def test_every_run_of_an_alignment_is_found():
+    rng = np.random.default_rng(3)
+    for first, gap, second in ((60, 40, 60), (60, 60, 60), (100, 60, 60), (100, 80, 100), (120, 140, 120), (60, 140, 60)):
+        one, two = rng.integers(0, 9999, first), rng.integers(0, 9999, second)
+        a, b = (np.concatenate([one, rng.integers(0, 9999, gap), two]) for _ in range(2))
+        pairs = sc.align(a, b)
+        got = sc.parts(pairs, 50, 0.8)
+        assert [any(abs(pairs[p][0] - s) < 9 and abs(pairs[q - 1][0] + 1 - e) < 9 for p, q in got) for s, e in ((0, first), (first + gap, first + gap + second))] == [True, True]
+    fits = lambda x, p, q: min(x[q][0] - x[p][0], x[q][1] - x[p][1]) + 1 >= 10 and q - p + 1 >= 0.8 * (max(x[q][0] - x[p][0], x[q][1] - x[p][1]) + 1)
+    for _ in range(300):
+        x = np.cumsum(rng.choice([1, 1, 1, 2, 6], (rng.integers(2, 60), 2)), axis=0).tolist()
+        got = sc.parts(x, 10, 0.8)
+        assert all(fits(x, p, q - 1) for p, q in got) and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+        for p in range(len(x)):
+            for q in range(p + 1, len(x)):
+                assert not fits(x, p, q) or any(p < e and s <= q for s, e in got)
+
+
 # 10
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
