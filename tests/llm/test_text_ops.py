@@ -1,6 +1,7 @@
 """Operators 2 to 6 and 10 against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -214,6 +215,24 @@ def test_every_run_of_an_alignment_is_found():
                 assert not fits(x, p, q) or any(p < e and s <= q for s, e in got)
 
 
+def test_passages_whose_seeds_lead_elsewhere(spark):
+    rnd = random.Random(8)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(24):
+        one = say(60)
+        for part in (one, one, one[:30], one[30:]):
+            texts.append(say(70) + part + say(70))
+    for _ in range(6):  # two passages of one pair, in one order
+        one, two = say(60), say(60)
+        texts += [say(9) + one + say(50) + two + say(9) for _ in range(2)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = sc.fuzzy_passages(docs).collect()
+    found = {(r.doc_id, r.partner_id) for r in got}
+    assert found == {x for k in range(0, 96, 4) for x in ((k, k + 1), (k + 1, k))} | {x for k in range(96, 108, 2) for x in ((k, k + 1), (k + 1, k))}
+    assert all(sum(r.doc_id == k for r in got) == 2 for k in range(96, 108))
+
+
 # 10
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
