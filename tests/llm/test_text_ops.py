@@ -233,6 +233,28 @@ def test_passages_whose_seeds_lead_elsewhere(spark):
     assert all(sum(r.doc_id == k for r in got) == 2 for k in range(96, 108))
 
 
+def test_recall_of_changed_passages(spark):
+    rnd = random.Random(9)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts, must = [], set()
+    for share in (0.8, 0.85, 0.9, 0.95):
+        for n in (50, 60):
+            for _ in range(40):
+                one = say(n)
+                two = list(one)
+                for i in rnd.sample(range(1, n - 1), int(n * (1 - share) + 1e-9)):
+                    two[i] = say(1)[0]
+                pair = [say(40) + one + say(40), say(40) + two + say(40)]
+                ids = {w: k for k, w in enumerate({w for t in pair for w in t})}
+                pairs = sc.align(*(np.array([ids[w] for w in t]) for t in pair))
+                if sc.parts(pairs, 50, 0.8):
+                    must |= {len(texts), len(texts) + 1}
+                texts += pair
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    hit = {r.doc_id for r in sc.fuzzy_passages(docs).collect()}
+    assert len(must) == len(texts) and hit <= must and len(hit) >= 0.98 * len(must), len(hit) / len(must)
+
+
 # 10
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
