@@ -1,10 +1,11 @@
 """License scan by conditional compression.
 
-Lines that speak of licensing, with what lies between near ones, are candidate
-blocks. A block is compressed alone and with each template as a raw zstandard
-dictionary; the templates are ranked by the share of bytes that they save.
-The best are confirmed by the words that differ: a template's words must
-stand in the block in order, nearly all and nearly without others between.
+Lines that speak of licensing, with the lines around them to a blank line or
+over the length of the longest template, are candidate blocks. Templates are
+confirmed by the words that differ: a template's words must stand in the block
+in order, nearly all and nearly without others between. The lines of a find are
+compressed alone and with the template as a raw zstandard dictionary; the share
+of bytes saved is reported.
 
 Edge cases: a null or empty text has no block; a line that occurs in many
 documents is judged once a task and reported for each; texts are read whole.
@@ -52,39 +53,58 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str, near: int = 2) -> list[tuple[int, str]]:
-    """Candidate blocks with their places: lines with a cue, joined across at most ``near`` lines."""
+def blocks(text: str, near: int = max(len(words(t)) for t in TEMPLATES.values())) -> list[tuple[int, str]]:
+    """Candidate blocks with their places: lines with a cue and those around them, to a blank line or over ``near`` words a side."""
     cue = re.compile(CUE, re.I)
+    lines = text.split("\n")
+    cues = [k for k, line in enumerate(lines) if cue.search(line)]
+    if not cues:
+        return []
+    at, size = [0], {}
+    for line in lines:
+        at.append(at[-1] + len(line) + 1)
+
+    def reach(k: int, step: int) -> int:
+        n, k = 0, k + step
+        while 0 <= k < len(lines) and n < near and lines[k].strip():
+            if k not in size:
+                size[k] = len(words(lines[k]))
+            n += size[k]
+            k += step
+        return k - step
+
     found: list[list[int]] = []
-    at = number = 0
-    for line in text.split("\n"):
-        if cue.search(line):
-            if found and number - found[-1][2] <= near and "\n" in text[found[-1][0] : at]:
-                found[-1][1:] = [at + len(line), number]
-            else:
-                found.append([at, at + len(line), number])
-        at += len(line) + 1
-        number += 1
-    return [(a, text[a:b]) for a, b, _ in found]
+    for k in cues:
+        if found and k <= found[-1][1]:
+            found[-1][1] = max(found[-1][1], reach(k, 1))
+            continue
+        first = reach(k, -1)
+        if found and first <= found[-1][1]:
+            found[-1][1] = reach(k, 1)
+        else:
+            found.append([first, reach(k, 1)])
+    return [(at[i], text[at[i] : at[j + 1] - 1]) for i, j in found]
 
 
 class Scanner:
     """Compressors of all templates, and the judgement of a block."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES, best: int = 4, cover: float = 0.9, excess: float = 0.25):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, cover: float = 0.9, excess: float = 0.25):
         import zstandard as zstd
 
         self.templates = {k: words(t) for k, t in templates.items()}
         self.alone = zstd.ZstdCompressor(level=3)
         self.given = {k: zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(t.encode() if len(t) >= 8 else t.encode().ljust(8), dict_type=zstd.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
-        self.best, self.cover, self.excess = best, cover, excess
-        self.cues = {k: frozenset(w) for k, w in self.templates.items()}
+        self.cover, self.excess = cover, excess
 
     def rank(self, block: str) -> list[tuple[float, str]]:
         """Templates by the share of the compressed block that they save."""
+        return sorted((-self.saved(block, k), k) for k in self.given)
+
+    def saved(self, block: str, name: str) -> float:
         raw = block.encode()
         alone = len(self.alone.compress(raw))
-        return sorted(((-(alone - len(c.compress(raw))) / alone, k) for k, c in self.given.items()))
+        return (alone - len(self.given[name].compress(raw))) / alone
 
     def differences(self, template: str, block_words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
         """First word, words in the span, those missing and those added; None if the wording is another."""
@@ -104,46 +124,50 @@ class Scanner:
         return None if len(added) > self.excess * len(t) else (a, b - a, missing, added)
 
     def scan(self, block: str) -> list[dict]:
-        """Confirmed licenses of a block, best first; a span is given to the first that claims it."""
-        ws = words(block)
+        """Confirmed licenses of a block in order, each with the lines that hold it; words go to the template that fits them best."""
+        places = [m.span() for m in _WORD.finditer(block)]
+        ws = [block[a:b].lower() for a, b in places]
         have = frozenset(ws)
-        out: list[dict] = []
-        ranked = self.rank(block)
-        for k, (saved, name) in enumerate(ranked):
-            # all whose words are nearly there are confirmed or refused too: a block may hold several
-            t = self.cues[name]
-            if k >= self.best and len(t & have) < self.cover * len(t):
+        claims = []
+        for name, t in self.templates.items():
+            if sum(w in have for w in t) < self.cover * len(t):
                 continue
-            d = self.differences(name, ws)
-            if d is None:
-                continue
-            if any(o["word"] < d[0] + d[1] and d[0] < o["word"] + o["n_words"] and len(o["missing"]) + len(o["added"]) <= len(d[2]) + len(d[3]) for o in out):
+            left = list(ws)
+            while (d := self.differences(name, left)) is not None:
+                claims.append((len(t) - 2 * len(d[2]) - len(d[3]), name, d))
+                left[d[0] : d[0] + d[1]] = [""] * d[1]
+        out: list[dict] = []
+        for _, name, (at, n, missing, added) in sorted(claims, key=lambda c: (-c[0], c[1], c[2][0])):
+            if any(o["word"] < at + n and at < o["word"] + o["n_words"] for o in out):
                 continue
-            out = [o for o in out if not (o["word"] < d[0] + d[1] and d[0] < o["word"] + o["n_words"])]
-            out.append({"license": name, "saved": -saved, "word": d[0], "n_words": d[1], "missing": d[2], "added": d[3]})
-        return out
+            start = block.rfind("\n", 0, places[at][0]) + 1
+            end = block.find("\n", places[at + n - 1][1])
+            lines = block[start : end if end >= 0 else len(block)]
+            out.append({"license": name, "start": start, "saved": self.saved(lines, name), "word": at, "n_words": n, "missing": missing, "added": added})
+        return sorted(out, key=lambda o: o["word"])
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row a license found: id, ``license``, ``start`` (code point of its block), ``saved``, ``n_words``, ``missing``, ``added``."""
+    """One row a license found: id, ``license``, ``start`` (code point of its first line), ``saved``, ``n_words``, ``missing``, ``added``."""
     docs = docs.select(F.col(doc_id), F.col(text)).where(F.col(text).rlike(f"(?i){CUE}"))
     kind = docs.schema[0].dataType.simpleString()
     out = f"{doc_id} {kind}, license string, start long, saved double, n_words int, missing array<string>, added array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, memo = Scanner(templates), {}
+        near = max((len(t) for t in scanner.templates.values()), default=0)
         for batch in batches:
             rows = []
             at: list[int] = []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                for start, block in blocks(t or ""):
+                for start, block in blocks(t or "", near):
                     found = memo.get(block)
                     if found is None:
                         found = scanner.scan(block)
                         if len(memo) < 20_000 and len(block) < 2000:
                             memo[block] = found
                     for f in found:
-                        rows.append((f["license"], start, f["saved"], f["n_words"], f["missing"], f["added"]))
+                        rows.append((f["license"], start + f["start"], f["saved"], f["n_words"], f["missing"], f["added"]))
                         at.append(k)
             kinds = [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]

@@ -33,6 +33,19 @@ def test_licenses_are_found_with_their_differences(docs, rows, empty):
     assert s.rank("Released under the MIT License.")[0][1] == "MIT"
 
 
+def test_wrapped_licenses_are_found_whole():
+    s = ls.Scanner()
+    for name in ("MIT-grant", "BSD-clauses", "GPL-notice", "MPL-2.0", "BSD", "ISC", "Apache-2.0-header"):
+        w = ls.TEMPLATES[name].split()
+        for width in (3, 5, 9, 14):
+            notice = "\n".join(" ".join(w[k : k + width]) for k in range(0, len(w), width))
+            text = f"one line before\n{notice}\nand one after\n"
+            found = [(a + f["start"], f) for a, b in ls.blocks(text) for f in s.scan(b)]
+            assert [(a, f["license"], f["n_words"], f["missing"]) for a, f in found] == [(16, name, len(ls.words(" ".join(w))), [])]
+    twice = "Released under the MIT License.\nmore\nReleased under the MIT License."
+    assert [f["license"] for _, b in ls.blocks(twice) for f in s.scan(b)] == ["MIT", "MIT"]
+
+
 # 3
 
 
