@@ -3,7 +3,8 @@
 Lines that speak of licensing, with the lines around them to a blank line or
 over the length of the longest template, are candidate blocks. Templates are
 confirmed by the words that differ: a template's words must stand in the block
-in order, nearly all and nearly without others between. The lines of a find are
+in order, nearly all and nearly without others between; one of few words may
+lack one that doesn't name the license. The lines of a find are
 compressed alone and with the template as a raw zstandard dictionary; the share
 of bytes saved is reported.
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,19 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "all-rights-reserved": "All rights reserved.",
+    "MIT-title": "MIT License",
+    "Apache-2.0-title": "Apache License Version 2.0",
+    "BSD-2-Clause-title": "BSD 2-Clause License",
+    "BSD-3-Clause-title": "BSD 3-Clause License",
+    "GPL-3.0-title": "GNU General Public License version 3",
+    "GPL-2.0-title": "GNU General Public License version 2",
+    "MPL-2.0-title": "Mozilla Public License Version 2.0",
+    **{f"{k}-spdx": f"SPDX-License-Identifier: {k}" for k in ("Apache-2.0", "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense")},
+    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
 }
+#: Words that may be missing from a template of one sentence; the others name the license.
+LOOSE = frozenset("this the work library software program is are a an licensed released distributed available under license".split())
 CUE = r"licen[sc]|copyright|permission (?:is|to)|redistribut|rights reserved|public domain|free software|waived all"
 _WORD = re.compile(r"[^\W_]+(?:[.\-+'][^\W_]+)*")
 
@@ -106,13 +119,22 @@ class Scanner:
         alone = len(self.alone.compress(raw))
         return (alone - len(self.given[name].compress(raw))) / alone
 
+    def need(self, t: list[str]) -> float:
+        """Words of a template that must be there; short ones may lack one."""
+        return min(self.cover * len(t), len(t) - 1) if len(t) > 3 else len(t)
+
     def differences(self, template: str, block_words: list[str]) -> tuple[int, int, list[str], list[str]] | None:
         """First word, words in the span, those missing and those added; None if the wording is another."""
         t = self.templates[template]
         m = SequenceMatcher(None, t, block_words, autojunk=False)
-        runs = [r for r in m.get_matching_blocks() if r.size]
+        core = m.find_longest_match()
+        # words far from the longest run are of another text
+        room = int(self.excess * len(t))
+        first = max(0, core.b - core.a - room)
+        m.set_seq2(block_words[first : core.b + len(t) - core.a + room])
+        runs = [Match(r.a, r.b + first, r.size) for r in m.get_matching_blocks() if r.size]
         hit = sum(r.size for r in runs)
-        if hit < self.cover * len(t):
+        if hit < self.need(t):
             return None
         a, b = runs[0].b, runs[-1].b + runs[-1].size
         added = [w for x, y in zip(runs, runs[1:]) for w in block_words[x.b + x.size : y.b]]
@@ -121,6 +143,8 @@ class Scanner:
             missing += t[at : r.a]
             at = r.a + r.size
         missing += t[at:]
+        if len(t) - hit > (1 - self.cover) * len(t) and not LOOSE.issuperset(missing):
+            return None
         return None if len(added) > self.excess * len(t) else (a, b - a, missing, added)
 
     def scan(self, block: str) -> list[dict]:
@@ -130,7 +154,7 @@ class Scanner:
         have = frozenset(ws)
         claims = []
         for name, t in self.templates.items():
-            if sum(w in have for w in t) < self.cover * len(t):
+            if sum(w in have for w in t) < self.need(t):
                 continue
             left = list(ws)
             while (d := self.differences(name, left)) is not None:

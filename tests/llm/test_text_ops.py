@@ -46,6 +46,25 @@ def test_wrapped_licenses_are_found_whole():
     assert [f["license"] for _, b in ls.blocks(twice) for f in s.scan(b)] == ["MIT", "MIT"]
 
 
+def test_usual_wordings_of_licenses():
+    s = ls.Scanner()
+    names = lambda t: [f["license"] for _, b in ls.blocks(t) for f in s.scan(b)]
+    for text, want in (
+        ("Licensed under the MIT License", ["MIT"]),
+        ("MIT License", ["MIT-title"]),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0-or-later-spdx"]),
+        ("Under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        (ls.TEMPLATES["MIT-text"], ["MIT-text"]),
+        (ls.TEMPLATES["ISC-text"], ["ISC-text"]),
+        ("Licensed under the Foo License, Version 2.0.", []),
+        ("Rights are not reserved here. No license.", []),
+    ):
+        assert names(text) == want, text
+    far = "this is the work of a library under a roof " + "x " * 40
+    assert names(far + "This work is licensed under the GNU General Public License, version 3.") == ["GPL-3.0"]
+
+
 # 3
 
 
