@@ -29,13 +29,15 @@ _SPACE = re.compile(r"[\s​]+")
 _WORD = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
-_DROP = {"script", "style", "head", "template", "noscript", "svg", "math", "iframe", "object", "select", "textarea", "button", "option", "canvas", "audio", "video", "title"}
+_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mi mo mn ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded menclose mtable mtr mtd semantics annotation".split())
+_DROP = {"script", "style", "head", "template", "noscript", "svg", "iframe", "object", "select", "textarea", "button", "option", "canvas", "audio", "video", "title"}
 _NO_P_AROUND = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "body", "article", "main", "section", "div", "nav", "aside", "td"}
 #: Words of class, id and role that speak against content, and for it.
 _AGAINST = set("ad ads advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice alert warning popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget footer foot header masthead topbar toolbar share sharing social related recommended more trending comment comments disqus reply replies respond discussion reader form search pagination pager skip copyright legal disclaimer meta tags rating poll".split())
+#: Of these, those that hold of a wrapper of articles too.
+_APART = set("comment comments disqus reply replies respond discussion related recommended more trending".split())
 _FOR = set("article content entry post story main body text maintext prose".split())
 
 
@@ -171,11 +173,27 @@ class _Page:
                 return
 
 
-def costs(b: Block) -> tuple[int, int]:
-    """Cost of calling a block boilerplate, and of calling it content."""
+def wrapper(b: Block) -> tuple | None:
+    """The path to the first article or main element around a block."""
+    k = next((k for k, (tag, _) in enumerate(b.path) if tag in ("article", "main")), None)
+    return None if k is None else b.path[:k]
+
+
+def home(blocks: list[Block]) -> tuple | None:
+    """The wrapper of most of the text that stands in article and main elements."""
+    size: dict[tuple, int] = {}
+    for b in blocks:
+        if (path := wrapper(b)) is not None:
+            size[path] = size.get(path, 0) + len(b.text)
+    return max(size, key=size.__getitem__, default=None)
+
+
+def costs(b: Block, home: tuple | None = None) -> tuple[int, int]:
+    """Cost of calling a block boilerplate, and of calling it content; ``home``: the path to the page's articles."""
     score = 0.0
     inside = False
-    for tag, words in b.path:
+    around = len(home) if home is not None and wrapper(b) == home else 0
+    for depth, (tag, words) in enumerate(b.path):
         if tag in ("article", "main"):
             score += 6
             inside = True
@@ -185,6 +203,10 @@ def costs(b: Block) -> tuple[int, int]:
             score -= 2 if inside else 10
         if words:
             bad, good = words & _AGAINST, words & _FOR
+            if depth < around:
+                bad &= _APART
+            elif inside and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                bad = frozenset()
             if bad and not (tag in ("article", "main", "body", "html") or good and tag != "div"):
                 score -= 13 if not good or words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "menu", "nav"} else 4
             elif good and not inside:
@@ -277,7 +299,8 @@ def main_text(page: str | None, adjacency: int = 4, proximity: int = 12) -> str:
     blocks = _Page(page).blocks
     if not blocks:
         return ""
-    pair = [costs(b) for b in blocks]
+    where = home(blocks)
+    pair = [costs(b, where) for b in blocks]
     edges = [(i, i + 1, adjacency) for i in range(len(blocks) - 1)]
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):

@@ -87,6 +87,14 @@ def test_main_text():
     assert hx.main_text(long).startswith("Long text") and "Foo" not in hx.main_text(long)
 
 
+def test_names_around_articles_and_of_headings():
+    body = "<article><h1>Title</h1><p>A first sentence that is long enough, of an article.</p><h2 id='related-work'>Related work</h2><p>With <math><mi>x</mi><mo>=</mo><mn>1</mn></math> it ends.</p></article>"
+    want = "Title\nA first sentence that is long enough, of an article.\nRelated work\nWith x=1 it ends."
+    assert hx.main_text(body) == hx.main_text(f"<div class='has-sidebar'>{body}</div>") == want
+    comments = "<div class='comments'><article><p>I do agree with this article, it is very good.</p></article></div>"
+    assert hx.main_text(f"<div class='has-sidebar'>{body}</div>{comments}") == want
+
+
 def test_min_cut_is_least():
     rnd = random.Random(0)
     for _ in range(150):
