@@ -1,15 +1,18 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks of text at block-level tags. A small classifier
-(path of elements, class and id words, link share, length, punctuation) gives
+A page is cut into blocks of text at block-level tags. A small linear
+classifier with hand-set weights (path of elements, class and id words, share
+of running text in an element, link share, length, punctuation) gives
 each block the cost of either label; these are its capacities to the two
 terminals. Neighbouring blocks, and successive blocks of one container, are
 joined by smoothness edges. The minimum cut, found by maximum flow, is the
 cheapest labelling; blocks on the content side make the text.
 
 Edge cases: a null or empty page, and one without content, gives the empty
-text; unclosed tags, comments and quotes are read as browsers do; repeated
-pages are extracted each; other columns pass through.
+text; a page of any depth is read in linear time; text inside math, svg, button,
+canvas and object elements is text of its line; unclosed tags, comments and quotes are read as browsers do; repeated
+pages are extracted each; other columns pass through, but for those named
+like the results, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._shared import small_batches
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?>[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_SPACE = re.compile(r"[\s​]+")
+_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mi mo mn ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded menclose mtable mtr mtd semantics annotation".split())
-_DROP = {"script", "style", "head", "template", "noscript", "svg", "iframe", "object", "select", "textarea", "button", "option", "canvas", "audio", "video", "title"}
+_INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br math mi mo mn ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded menclose mtable mtr mtd semantics annotation button canvas object svg g path text tspan circle rect line polyline polygon ellipse defs use symbol".split())
+_DROP = {"script", "style", "head", "template", "noscript", "iframe", "select", "textarea", "option", "audio", "video", "title"}
 _NO_P_AROUND = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"ul", "ol", "dl", "table", "body", "article", "main", "section", "div", "nav", "aside", "td"}
@@ -41,21 +46,48 @@ _APART = set("comment comments disqus reply replies respond discussion related r
 _FOR = set("article content entry post story main body text maintext prose".split())
 
 
+#: Of these, those that prose inside an article outweighs: sections of a paper or a law bear such names too.
+_SOFT = set("related recommended more trending side legal meta tags head foot copyright skip discussion search form rating poll disclaimer warning alert".split())
+
+
+@dataclass(slots=True, eq=False)
+class Node:
+    """An element that holds blocks; ``kind`` is alike for elements of equal path."""
+
+    tag: str
+    words: frozenset[str]
+    serial: int
+    up: Node | None
+    depth: int
+    kind: int
+    inside: bool
+    wrapper: int | None  # kind of the path around the first article or main element
+
+
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[tuple[str, frozenset[str]], ...]
+    at: Node | None
     link_chars: int
     parent: int
-    tag: str
+
+    @property
+    def tag(self) -> str:
+        return self.at.tag if self.at else ""
+
+
+_HELD = ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "td", "th", "pre")
 
 
 class _Page:
-    """Reads a page once, from start to end."""
+    """Reads a page once, from start to end, in time linear in its size however deep its elements lie."""
 
     def __init__(self, page: str):
         self.blocks: list[Block] = []
-        self.stack: list[tuple[str, frozenset[str], int]] = []
+        self.stack: list[tuple[str, Node | None]] = []
+        self.holders: list[Node] = []
+        self.opened: dict[str, int] = {}
+        self.kinds: dict[tuple, int] = {}
         self.parts: list[str] = []
         self.links = self.linked = self.dropped = self.serial = 0
         at = 0
@@ -78,8 +110,6 @@ class _Page:
             self.open(name, m["attrs"])
             if name in _RAW:
                 close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                if name == "textarea" or name == "title" or self.dropped:
-                    pass
                 at = close.end() if close else n
                 self.close(name)
         self.flush()
@@ -94,16 +124,22 @@ class _Page:
         if self.parts:
             text = _SPACE.sub(" ", _html.unescape("".join(self.parts))).strip()
             if text:
-                holders = [x for x in self.stack if x[0] not in _INLINE]
-                parent = holders[-2][2] if len(holders) > 1 and holders[-1][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "td", "th", "pre") else holders[-1][2] if holders else -1
-                self.blocks.append(Block(text, tuple((t, w) for t, w, _ in holders), min(self.links, len(text)), parent, holders[-1][0] if holders else ""))
+                holder = self.holders[-1] if self.holders else None
+                group = holder.up if holder and holder.up and holder.tag in _HELD else holder
+                self.blocks.append(Block(text, holder, min(self.links, len(text)), group.serial if group else -1))
             self.parts = []
         self.links = 0
 
+    def left(self, name: str) -> None:
+        self.opened[name] -= 1
+        self.linked -= name == "a"
+        self.dropped -= name in _DROP
+
     def pop_to(self, k: int) -> None:
-        for name, _, _ in self.stack[k:]:
-            self.linked -= name == "a"
-            self.dropped -= name in _DROP
+        for name, node in self.stack[k:]:
+            self.left(name)
+            if node is not None:
+                self.holders.pop()
         del self.stack[k:]
 
     def open(self, name: str, attrs: str) -> None:
@@ -118,10 +154,10 @@ class _Page:
                 self.end_implied(_SELF_CLOSING[name])
             if name == "body":
                 self.end_implied({"head"})
-        elif name == "a":
+        elif name == "a" and self.opened.get("a"):
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] == "a":
-                    self.linked -= 1
+                    self.left("a")
                     del self.stack[k]
                     break
                 if self.stack[k][0] not in _INLINE:
@@ -142,11 +178,23 @@ class _Page:
             words.add("popup")
             words.add("hidden")
         self.serial += 1
-        self.stack.append((name, frozenset(words), self.serial))
+        node = None
+        if name not in _INLINE:
+            up = self.holders[-1] if self.holders else None
+            key = (up.kind if up else 0, name, frozenset(words))
+            kind = self.kinds.setdefault(key, len(self.kinds) + 1)
+            main = name in ("article", "main")
+            wrapper = up.wrapper if up and up.wrapper is not None else (up.kind if up else 0) if main else None
+            node = Node(name, key[2], self.serial, up, up.depth + 1 if up else 0, kind, bool(main or up and up.inside), wrapper)
+            self.holders.append(node)
+        self.stack.append((name, node))
+        self.opened[name] = self.opened.get(name, 0) + 1
         self.linked += name == "a"
         self.dropped += name in _DROP
 
     def end_implied(self, names: set[str]) -> None:
+        if not any(self.opened.get(x) for x in names):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in names:
                 self.pop_to(k)
@@ -155,16 +203,14 @@ class _Page:
                 return
 
     def close(self, name: str) -> None:
-        if name in ("p", "br") and not any(x[0] == name for x in self.stack):
+        if name not in _INLINE or name == "br":
             self.data(" ") if name == "br" else self.flush()
+        if not self.opened.get(name):
             return
-        if name not in _INLINE:
-            self.flush()
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
                 if name in _INLINE:
-                    self.linked -= name == "a"
-                    self.dropped -= name in _DROP
+                    self.left(name)
                     del self.stack[k]
                 else:
                     self.pop_to(k)
@@ -173,55 +219,94 @@ class _Page:
                 return
 
 
-def wrapper(b: Block) -> tuple | None:
-    """The path to the first article or main element around a block."""
-    k = next((k for k, (tag, _) in enumerate(b.path) if tag in ("article", "main")), None)
-    return None if k is None else b.path[:k]
-
-
-def home(blocks: list[Block]) -> tuple | None:
+def home(blocks: list[Block]) -> int | None:
     """The wrapper of most of the text that stands in article and main elements."""
-    size: dict[tuple, int] = {}
+    size: dict[int, int] = {}
     for b in blocks:
-        if (path := wrapper(b)) is not None:
-            size[path] = size.get(path, 0) + len(b.text)
+        if b.at and b.at.wrapper is not None:
+            size[b.at.wrapper] = size.get(b.at.wrapper, 0) + len(b.text)
     return max(size, key=size.__getitem__, default=None)
 
 
-def costs(b: Block, home: tuple | None = None) -> tuple[int, int]:
-    """Cost of calling a block boilerplate, and of calling it content; ``home``: the path to the page's articles."""
-    score = 0.0
-    inside = False
-    around = len(home) if home is not None and wrapper(b) == home else 0
-    for depth, (tag, words) in enumerate(b.path):
-        if tag in ("article", "main"):
+def is_prose(b: Block) -> bool:
+    return len(b.text) > 40 and 10 * b.link_chars < 3 * len(b.text) and any(c in b.text for c in ".!?。")
+
+
+class Judge:
+    """Costs of the two labels of a page's blocks; what the elements around a block say is summed once an element."""
+
+    def __init__(self, blocks: list[Block]):
+        self.home = home(blocks)
+        self.known: dict[tuple[int, bool], float] = {}
+        # characters of all blocks of an element, and of those that are running text
+        size: dict[int, list[int]] = {}
+        nodes: dict[int, Node] = {}
+        for b in blocks:
+            at = b.at
+            if at is not None:
+                now = size.setdefault(at.serial, [0, 0])
+                now[0] += len(b.text)
+                now[1] += len(b.text) * is_prose(b)
+            while at is not None and at.serial not in nodes:
+                nodes[at.serial] = at
+                at = at.up
+        for k in sorted(nodes, reverse=True):
+            if (up := nodes[k].up) is not None:
+                now = size.setdefault(up.serial, [0, 0])
+                now[0] += size[k][0]
+                now[1] += size[k][1]
+        self.prose = {k for k, (n, m) in size.items() if 2 * m > n}
+
+    def element(self, e: Node, at_home: bool) -> float:
+        """What one element says."""
+        score = 0.0
+        if e.tag in ("article", "main"):
             score += 6
-            inside = True
-        elif tag in ("nav", "footer", "aside", "form", "menu", "dialog"):
+        elif e.tag in ("nav", "footer", "aside", "form", "menu", "dialog"):
             score -= 14
-        elif tag == "header":
-            score -= 2 if inside else 10
-        if words:
-            bad, good = words & _AGAINST, words & _FOR
-            if depth < around:
+        elif e.tag == "header":
+            score -= 2 if e.inside else 10
+        if e.words:
+            bad, good = e.words & _AGAINST, e.words & _FOR
+            if at_home and not e.inside:
                 bad &= _APART
-            elif inside and tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            elif e.inside and e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 bad = frozenset()
-            if bad and not (tag in ("article", "main", "body", "html") or good and tag != "div"):
-                score -= 13 if not good or words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "menu", "nav"} else 4
-            elif good and not inside:
+            elif e.inside and e.serial in self.prose:
+                bad -= _SOFT
+            if bad and not (e.tag in ("article", "main", "body", "html") or good and e.tag != "div"):
+                score -= 13 if not good or e.words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "menu", "nav"} else 4
+            elif good and not e.inside:
                 score += 4
-    n = len(b.text)
-    link = b.link_chars / n
-    if not inside:
-        score += min(n, 400) / 100 - 2.0
-    score -= (3 if inside else 7) * (link > 0.5)
-    if n > 80 and link < 0.3 and any(c in b.text for c in ".!?。"):
-        score += 1.5
-    if b.tag in ("h1", "h2", "h3") and not inside:
-        score += 1
-    k = int(round(score * 10))
-    return max(k, 0), max(-k, 0)
+        return score
+
+    def path(self, at: Node | None, at_home: bool) -> float:
+        todo = []
+        while at is not None and (at.serial, at_home) not in self.known:
+            todo.append(at)
+            at = at.up
+        score = self.known[at.serial, at_home] if at is not None else 0.0
+        for e in reversed(todo):
+            score += self.element(e, at_home)
+            self.known[e.serial, at_home] = score
+        return score
+
+    def costs(self, b: Block) -> tuple[int, int]:
+        """Cost of calling a block boilerplate, and of calling it content."""
+        n = len(b.text)
+        link = b.link_chars / n
+        inside = bool(b.at and b.at.inside)
+        at_home = self.home is not None and b.at is not None and b.at.wrapper == self.home
+        score = self.path(b.at, at_home)
+        if not inside:
+            score += min(n, 400) / 100 - 2.0
+        score -= (3 if inside else 7) * (link > 0.5)
+        if n > 80 and is_prose(b):
+            score += 1.5
+        if b.tag in ("h1", "h2", "h3") and not inside:
+            score += 1
+        k = int(round(score * 10))
+        return max(k, 0), max(-k, 0)
 
 
 def min_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -299,8 +384,8 @@ def main_text(page: str | None, adjacency: int = 4, proximity: int = 12) -> str:
     blocks = _Page(page).blocks
     if not blocks:
         return ""
-    where = home(blocks)
-    pair = [costs(b, where) for b in blocks]
+    judge = Judge(blocks)
+    pair = [judge.costs(b) for b in blocks]
     edges = [(i, i + 1, adjacency) for i in range(len(blocks) - 1)]
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
@@ -313,6 +398,7 @@ def main_text(page: str | None, adjacency: int = 4, proximity: int = 12) -> str:
 
 def extract_main_text(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``pages`` without ``html``, with the main text and its number of code points; columns of these names are replaced."""
+    small_batches(pages.sparkSession)
     rest = [c for c in pages.columns if c not in (html, text, n_chars)]
     pages = pages.select(*rest, html)
     schema = T.StructType(list(pages.schema.fields)[:-1]).add(text, "string").add(n_chars, "long")
