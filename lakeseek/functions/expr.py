@@ -76,16 +76,6 @@ def sparse_from_weights(weights: Column) -> Column:
     return F.struct(F.transform(entries, lambda e: e["key"].cast("long")).alias("indices"), F.transform(entries, lambda e: e["value"].cast("double")).alias("values"))
 
 
-def prefixed(x: Column, model: str, query: bool) -> Column:
-    """The text with the prefix that E5 models want; others get it as it is."""
-    return F.concat(F.lit("query: " if query else "passage: "), x) if "e5" in model.lower() else x
-
-
-def api_text(x: Column, most: int = 8192) -> Column:
-    """At most ``most`` characters; a blank text becomes one blank."""
-    return F.when(F.length(strip(x)) == 0, F.lit(" ")).otherwise(F.substring(x, 1, most))
-
-
 def markdown_table(rows: Column) -> Column:
     """A Markdown table of an array of arrays of strings: empty rows dropped, under two rows an empty text, short rows padded."""
     clean = F.transform(rows, lambda r: F.transform(r, lambda c: strip(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("|"), F.lit("\\|")))))

@@ -8,21 +8,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch sent to a Python worker, and of a row group of an intermediate table.
+BATCH_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset, as in local tests, in a temporary folder."""
+    """A new path in ``spark.checkpoint.dir``; where that is unset, a temporary folder, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lakeseek-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lakeseek-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, which long texts would swell, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("64MB", "67108864b"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def file_system(uri: str):
+    """The Arrow file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -33,10 +53,10 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop(spark: SparkSession, df_or_path: DataFrame | str) -> None:
-    """Deletes a table that ``written`` made."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else df_or_path.inputFiles()[:1]
-    for p in paths:
-        root = p if isinstance(df_or_path, str) else p.rsplit("/", 1)[0]
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes tables that ``written`` made, or paths."""
+    for t in tables:
+        for p in [t] if isinstance(t, str) else t.inputFiles()[:1]:
+            root = p if isinstance(t, str) else p.rsplit("/", 2)[0]
+            path = spark._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

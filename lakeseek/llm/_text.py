@@ -180,6 +180,20 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         lo = hi
 
 
+def together(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of several batches, of about ``size`` bytes of text, as one."""
+    held: list[pa.RecordBatch] = []
+    have = 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.column(batch.schema.get_field_index(column)).nbytes
+        if have >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, have = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def repeats(keys: np.ndarray) -> np.ndarray:
     """Marks the keys that occur twice or more."""
     ordered = np.sort(keys)

@@ -8,13 +8,16 @@ encoder, attention and scorer are trained together, by plain numpy with Adam.
 Passages are described by the shapes of their words (case, last character,
 length, repetition), never by labels, language, source or id.
 
-The model is fitted on a bounded sample: at most ``max_documents`` labelled
-training rows, those of least hash, and ``max_passages`` evenly spaced
-passages of each. Every document is scored on all its passages.
+The model is fitted on a bounded sample of labelled training rows: those of
+least hash, ``max_documents`` at most, and no more than hold ``max_passages``
+passages together (the first row counts whatever its length). A chosen row is
+encoded whole, and every document is scored on all its passages.
 
 Edge cases: a null or empty text is one empty passage and gets the score of
 that; null labels are left out; without labels of both kinds, every score is
-the share of label 1 (0.5 without any label); repeated rows are scored each.
+the share of label 1 (0.5 without any label); repeated rows are scored each;
+an id labelled twice counts with its lesser label; very long texts are bags of
+many passages; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as tx
+from ._shared import drop, small_batches, written
 
 PASSAGE = 48
 _LAST = np.zeros(256, np.int64)  # letters and bytes above ASCII
@@ -123,23 +127,30 @@ def fit(x: np.ndarray, off: np.ndarray, y: np.ndarray, hidden: int = 16, gate: i
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_documents: int = 6000, max_passages: int = 64) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_documents: int = 6000, max_passages: int = 1_000_000) -> dict[str, np.ndarray]:
     """The model, fitted on the training fold: labelled rows whose crc32(id as text) mod 4 is not 2."""
+    small_batches(docs.sparkSession)
     fold = F.crc32(F.col(doc_id).cast("string")) % 4
-    chosen = labels.select(doc_id, F.col(label).cast("int").alias("_y")).where(F.col("_y").isNotNull() & (fold != 2)).groupBy(doc_id).agg(F.min("_y").alias("_y")).orderBy(F.xxhash64(doc_id), doc_id).limit(max_documents)
-    rows = docs.select(F.col(doc_id), F.col(text).alias("_t")).join(F.broadcast(chosen), doc_id)
+    chosen = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isNotNull() & (fold != 2)).groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_documents)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in tx.slices(batch, "_t"):
                 x, o = describe(tx.scan(buf, off))
-                bags = []
-                for a, b in zip(o[:-1], o[1:]):
-                    at = np.unique(np.linspace(a, b - 1, min(b - a, max_passages)).astype(np.int64))
-                    bags.append(x[at].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(bags, pa.binary()), part.column(2)], names=["id", "bag", "y"])
-
-    found = rows.mapInArrow(encode, "id string, bag binary, y int").limit(2 * max_documents).collect()
+                bags = [x[a:b].tobytes() for a, b in zip(o[:-1], o[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(bags, pa.binary()), part.column(2), pa.array(np.diff(o))], names=["id", "bag", "y", "n"])
+
+    bags = written(rows.mapInArrow(encode, "id string, bag binary, y int, n long").withColumn("h", F.xxhash64("id")).withColumn("b", F.xxhash64("bag")), "bags")
+    # rows that repeat an id may be many, so the least are taken again, by what is narrow
+    least = bags.select("h", "id", "b", "n").orderBy("h", "id", "b").limit(max_documents).collect()
+    total = np.cumsum([r["n"] for r in least]) if least else np.zeros(0)
+    last = max(1, int(np.searchsorted(total, max_passages, "right")))
+    found = []
+    if least:
+        end = least[min(last, len(least)) - 1]
+        found = bags.where(F.struct("h", "id", "b") <= F.struct(F.lit(end["h"]), F.lit(end["id"]), F.lit(end["b"]))).select("id", "bag", "y").dropDuplicates().collect()
+    drop(docs.sparkSession, bags)
     found.sort(key=lambda r: (r[0], bytes(r[1])))
     y = np.array([r[2] for r in found], float)
     if not len(y) or y.min() == y.max():

@@ -3,7 +3,8 @@
 Each rule looks at the documents that all rules before it kept. The order is
 found on a bounded sample: every rule's seconds per document and the share it
 rejects are measured there, and rules run by rejections per second. The
-verdict is a conjunction, so the order changes the time only, never a result.
+verdict is a conjunction, so the order changes the time only, never a verdict;
+``rejected_by`` names the rule that came first in the order of that run.
 
 Edge cases: a null or empty text has no words and fails the base; repeated
 rows are judged one by one; other columns pass through untouched.
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as tx
+from ._shared import small_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 WINDOW = 5
+#: Text looked at together; the arrays of a pass take some thirty times as much memory.
+SLICE_BYTES = 1 << 19
 
 
 class Slice:
@@ -170,13 +174,14 @@ def plan(sample: list[str | None], rules: tuple[Rule, ...] = RULES) -> tuple[Rul
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 512) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``kept`` and ``rejected_by``.
 
-    ``sample_rows`` bounds the sample from which the order of rules is planned;
+    ``sample_rows`` bounds the sample, the whole texts of least hash, from which the order of rules is planned;
     all documents are judged, on their whole texts. Input columns of these
     names are replaced.
     """
     new = [*COUNTS, "base_failed", "kept", "rejected_by"]
     docs = docs.drop(*[c for c in new if c in docs.columns])
-    sample = [r[0][:20000] if r[0] else r[0] for r in docs.select(text).limit(sample_rows).collect()]
+    small_batches(docs.sparkSession)
+    sample = [r[0] for r in docs.select(text).orderBy(F.xxhash64(text), text).limit(sample_rows).collect()]
     ordered = plan(sample, rules)
     names = ["base", *(r.name for r in ordered)]
     schema = T.StructType(list(docs.schema.fields))
@@ -186,7 +191,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, off in tx.slices(batch, text):
+            for part, buf, off in tx.slices(batch, text, SLICE_BYTES):
                 s = Slice(buf, off)
                 counts = base_counts(s)
                 verdict = judge(s, counts, ordered)

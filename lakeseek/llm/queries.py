@@ -70,7 +70,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), max_documents=6000, max_passages=64)
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), max_documents=6000)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ hash, which lies at the same offset in every equal string. So equal strings
 are found at anchors of equal grams, and nothing is lost.
 
 1. Anchors' grams are counted by distinct place; the rest look at grams that
-   occur at two places or more, told by a bit map of fixed size first.
+   occur at two places or more, told by a bit map of their number's size, or
+   by joins of narrow rows where they are too many for one.
 2. An anchor's context is all that a string holding its gram can reach. Equal
    contexts are one entry; if it occurs at two places, all of it goes.
 3. Entries meet by gram. Each task keeps a logarithmic family of suffix
@@ -23,7 +24,8 @@ Texts that occur twice or more are one text here, and go whole if they are
 long enough. A place is known by a 64-bit hash of text and position.
 
 Edge cases: a null text is empty; texts shorter than ``length`` stay whole;
-repeated rows are copies of each other; an empty table gives no rows.
+repeated rows are copies of each other; an empty table gives no rows; very
+long texts are treated whole; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,12 +40,13 @@ from pyspark.sql import functions as F
 
 from . import _text as tx
 from ._bitmap import bit_map, holds
-from ._shared import written
+from ._shared import drop, small_batches, written
 
 _U = np.uint64
 _I = np.int64
 GRAM = 64
 HOT_ENTRIES = 50_000
+SLICE_BYTES = 1 << 20
 
 
 def text_key(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -152,8 +155,9 @@ def entry_windows(gram: np.ndarray, left: np.ndarray, column: pa.Array, length:
     return h, entry, start
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, gram: int = GRAM, hot_entries: int = HOT_ENTRIES, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, gram: int = GRAM, hot_entries: int = HOT_ENTRIES, with_text: bool = False, map_keys: int = 8_000_000) -> DataFrame:
     """One row a document: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, if asked for, ``kept`` (binary)."""
+    small_batches(docs.sparkSession)
     if not 8 <= gram <= length:
         raise ValueError("gram must lie between 8 and length")
     spark = docs.sparkSession
@@ -164,21 +168,28 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, buf, off in tx.slices(batch, "text"):
+            for _, buf, off in tx.slices(batch, "text", SLICE_BYTES):
                 h, at, doc = anchors(buf, off, length, gram)
                 place = places(text_key(buf, off)[doc], at - off[doc])
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(_I)), pa.array(place)], names=["gram", "place"])
 
     found = docs.select("text").mapInArrow(grams, "gram long, place long").groupBy("gram").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a < b")
-    repeated = sc.broadcast(bit_map(found, "gram"))
+    found = written(found.select("gram"), "grams")
+    n_grams = found.count()
+    bits = bit_map(found, "gram", n_grams) if n_grams <= map_keys else None
+    repeated = sc.broadcast(bits)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = repeated.value
         seen: set[int] = set()
         for batch in batches:
-            for _, buf, off in tx.slices(batch, "text"):
+            for part, buf, off in tx.slices(batch, "text", SLICE_BYTES):
                 h, at, doc = anchors(buf, off, length, gram)
-                on = holds(bits, h.view(_I))
+                if part.num_columns > 1:  # the places that are wanted are given
+                    given = [np.asarray(p, _I) + o for p, o in zip(part.column(1).to_pylist(), off[:-1].tolist())]
+                    on = np.isin(at, np.concatenate(given))
+                else:
+                    on = holds(bits, h.view(_I))
                 h, at, doc = h[on], at[on], doc[on]
                 start, end = np.maximum(at - reach, off[doc]), np.minimum(at + gram + reach, off[doc + 1])
                 with np.errstate(over="ignore"):
@@ -200,14 +211,31 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     names=["gram", "context", "key", "pos", "left", "place", "body"],
                 )
 
-    rows = written(docs.select("text").mapInArrow(contexts, "gram long, context long, key long, pos int, left int, place long, body binary"), "anchors")
+    texts = docs.select("text")
+    if bits is None:  # too many grams for a map: those of each text by joins, of narrow rows first
+
+        def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, buf, off in tx.slices(batch, "text", SLICE_BYTES):
+                    h, at, doc = anchors(buf, off, length, gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(_I)), pa.array(text_key(buf, off)[doc]), pa.array(at - off[doc])], names=["gram", "key", "pos"])
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, buf, off in tx.slices(batch, "text", SLICE_BYTES):
+                    yield pa.RecordBatch.from_arrays([pa.array(text_key(buf, off)), part.column(0)], names=["key", "text"])
+
+        wanted = texts.mapInArrow(narrow, "gram long, key long, pos long").join(found, "gram", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("at"))
+        texts = texts.mapInArrow(keyed, "key long, text string").join(wanted, "key").select("text", "at")
+    rows = written(texts.mapInArrow(contexts, "gram long, context long, key long, pos int, left int, place long, body binary"), "anchors")
     entries = rows.groupBy("gram", "context").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("left").alias("left"), F.first("body", ignorenulls=True).alias("body"))
     entries = entries.select("gram", "context", "left", "body", (F.col("a") < F.col("b")).alias("twice"))
     hot = [r[0] for r in rows.groupBy("gram").agg(F.approx_count_distinct("context").alias("n")).where(F.col("n") > hot_entries).select("gram").take(1)]
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
-        names, lefts, sizes, low, high, base = [], [], [], np.zeros(0, _I), np.zeros(0, _I), 0
+        names, lefts, base = [], [], 0
+        low, high = np.zeros(0, _I), np.zeros(0, _I)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
@@ -219,13 +247,15 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 names.append(part.column(1).to_numpy(zero_copy_only=False))
                 lefts.append(left)
                 whole = twice & (size >= length)
-                low = np.concatenate([low, np.where(whole, 0, 1 << 40)])
-                high = np.concatenate([high, np.where(whole, size - length, -1)])
+                if base + n > len(low):  # room for twice as many
+                    low, high = np.concatenate([low, np.zeros(base + n, _I)]), np.concatenate([high, np.zeros(base + n, _I)])
+                low[base : base + n], high[base : base + n] = np.where(whole, 0, 1 << 40), np.where(whole, size - length, -1)
                 hits = family.add(key, (base + entry) * 4096 + start)
                 np.minimum.at(low, hits >> 12, hits & 4095)
                 np.maximum.at(high, hits >> 12, hits & 4095)
                 base += n
         if base:
+            low, high = low[:base], high[:base]
             left, on = np.concatenate(lefts), high >= 0
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)[on]), pa.array((low - left)[on]), pa.array((high + length - left)[on])], names=["context", "lo", "hi"])
 
@@ -257,19 +287,20 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, buf, off in tx.slices(batch, "text"):
+            for _, buf, off in tx.slices(batch, "text", SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(text_key(buf, off)), pa.array(np.diff(off))], names=["key", "n"])
 
     copies = docs.select("text").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.count("*").alias("k"), F.max("n").alias("n")).where(f"k > 1 and n >= {length}")
     spans = spans.unionByName(copies.select("key", F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e")).alias("span")))
     spans = written(spans.groupBy("key").agg(F.collect_list("span").alias("spans")), "spans")
+    drop(spark, found, rows)
     marked = sc.broadcast(bit_map(spans, "key"))
 
     def split(clean: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = marked.value
             for batch in batches:
-                for part, buf, off in tx.slices(batch, "text"):
+                for part, buf, off in tx.slices(batch, "text", SLICE_BYTES):
                     key = text_key(buf, off)
                     on = holds(bits, key)
                     if clean:
@@ -311,7 +342,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, _ in tx.slices(batch, "text"):
+            for part, _, _ in tx.slices(batch, "text", SLICE_BYTES):
                 yield report(part, part.column(2).to_pylist())
 
     out = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._shared import shared_dir
+from ._shared import file_system, shared_dir, small_batches
 
 MAGIC = b"LSRANS1\n"
 LANES = 2048
@@ -323,12 +323,6 @@ def id_counts(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 2)
 # files
 
 
-def _fs(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 class Writer:
     """One file: ids go in, blocks go out as they fill."""
 
@@ -415,10 +409,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
     retried or doubled task leaves one whole file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counts = id_counts(docs, tokenizer, "text", end)
     freq = quantise(counts)
-    fs, root = _fs(path)
+    fs, root = file_system(path)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/frequencies.bin") as f:
         f.write(freq.astype("<u4").tobytes())
@@ -428,7 +423,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, coder = _tokens(tokenizer), Coder(table.value)
         ctx = TaskContext.get()
-        fs, root = _fs(path)
+        fs, root = file_system(path)
         name = f"part-{ctx.partitionId():06d}.rans"
         draft = f"{root}/.{name}.{ctx.taskAttemptId()}"
         ids, lengths = [], []
@@ -458,19 +453,19 @@ def read_tokens(spark: SparkSession, path: str, schema, with_ids: bool = False)
 
     ``schema``: the schema of the documents, for the type of ``doc_id``.
     """
-    fs, root = _fs(path)
+    fs, root = file_system(path)
     with fs.open_input_stream(f"{root}/index.json") as f:
         parts = json.loads(f.read())["parts"]
     rows, start = [], 0
     for name, n_docs, n_ids in parts:
         if n_docs:
-            rows.append((name, start))
+            rows.append((len(rows), name, start))
         start += n_ids
     kind = schema["doc_id"].dataType
     out = f"doc_id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _fs(path)
+        fs, root = file_system(path)
         with fs.open_input_stream(f"{root}/frequencies.bin") as f:
             coder = Coder(np.frombuffer(f.read(), "<u4").astype(np.int64))
         for batch in batches:
@@ -503,7 +498,7 @@ def read_tokens(spark: SparkSession, path: str, schema, with_ids: bool = False)
 
     if not rows:
         return spark.createDataFrame([], out)
-    return spark.createDataFrame(rows, "name string, start long").repartition(len(rows), "name").mapInArrow(run, out)
+    return spark.createDataFrame(rows, "part int, name string, start long").repartitionById(len(rows), F.col("part")).mapInArrow(run, out)
 
 
 def token_binary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = 2, path: str | None = None) -> DataFrame:

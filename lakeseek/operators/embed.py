@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EmbeddingError
 from ..functions import expr
@@ -37,27 +40,76 @@ class SparseEmbedder(Protocol):
     def embed_queries(self, texts: Texts) -> Weights: ...
 
 
-def term_counts(df: DataFrame, key: str, text: str, size: int | None = None) -> DataFrame:
-    """(``key``, ``term``, ``tf``): word counts, of words or of their buckets."""
-    word = F.explode(expr.tokens(F.col(text))).alias("_w")
-    term = expr.bucket(F.col("_w"), size) if size else F.col("_w")
-    return df.select(key, word).groupBy(key, term.alias("term")).agg(F.count("*").alias("tf"))
+def _md5_bucket(word: str) -> int:
+    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
 
 
-def hash_sparse(df: DataFrame, key: str, text: str, size: int = 1_000_000) -> DataFrame:
-    """(``key``, ``indices``, ``values``): counts by hashed word, by ascending index."""
-    cells = F.array_sort(F.collect_list(F.struct("term", F.col("tf").cast("double").alias("tf"))))
-    rows = term_counts(df, key, text, size).groupBy(key).agg(cells.alias("_c"))
-    return rows.select(key, F.col("_c.term").alias("indices"), F.col("_c.tf").alias("values"))
+def _sha1_bucket(word: str) -> int:
+    return int(hashlib.sha1(word.encode()).hexdigest()[:8], 16)
 
 
-def hash_dense(df: DataFrame, key: str, text: str, dimension: int = 64) -> DataFrame:
+#: Ways to hash: the words of a text (as a column), and the number of a word.
+WORDS: dict[str, tuple[Callable[[Column], Column], Callable[[str], int]]] = {
+    "md5": (expr.tokens, _md5_bucket),
+    "sha1": (lambda x: F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""), _sha1_bucket),
+}
+
+
+def _cells(df: DataFrame, keys: list[str], text: str, size: int, way: str, build: Callable[[np.ndarray, np.ndarray, int], tuple[list[pa.Array], np.ndarray | None]], fields: list[T.StructField]) -> DataFrame:
+    """The columns ``keys`` and what ``build`` makes of each batch's (row, bucket) pairs: a row function, without a shuffle."""
+    words, number = WORDS[way]
+    names = [*keys, *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            lists = batch.column(len(keys))
+            n = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+            coded = lists.flatten().dictionary_encode()
+            found = []
+            for w in coded.dictionary.to_pylist():
+                if (b := known.get(w)) is None:
+                    b = number(w) % size
+                    if len(known) < 200_000:
+                        known[w] = b
+                found.append(b)
+            bucket = np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)] if found else np.zeros(0, np.int64)
+            columns, keep = build(np.repeat(np.arange(batch.num_rows), n), bucket, batch.num_rows)
+            given = batch.columns[: len(keys)]
+            yield pa.RecordBatch.from_arrays([*(c if keep is None else c.take(pa.array(keep)) for c in given), *columns], names=names)
+
+    rows = df.select(*keys, F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("_w"))
+    return rows.mapInArrow(run, T.StructType([*(df.schema[k] for k in keys), *fields]))
+
+
+def hash_sparse(df: DataFrame, key: str, text: str, size: int = 1_000_000, way: str = "md5") -> DataFrame:
+    """(``key``, ``indices``, ``values``): counts by hashed word, by ascending index; no row for a text without words."""
+
+    def build(row: np.ndarray, bucket: np.ndarray, n: int):
+        cell, count = np.unique(row * size + bucket, return_counts=True)
+        off = np.searchsorted(cell, np.arange(n + 1) * size)
+        keep = np.flatnonzero(np.diff(off))
+        off = pa.array(np.append(off[:-1][keep], off[-1]).astype(np.int32))
+        return [pa.ListArray.from_arrays(off, pa.array(cell % size)), pa.ListArray.from_arrays(off, pa.array(count.astype(float)))], keep
+
+    return _cells(df, [key], text, size, way, build, [T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+
+def hash_dense(df: DataFrame, key: str, text: str, dimension: int = 64, way: str = "md5") -> DataFrame:
     """(``key``, ``dense``): counts in ``dimension`` buckets, of length one; a text without words gives zeros."""
-    rows = term_counts(df, key, text, dimension).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("_m"))
-    norm = F.sqrt(F.aggregate(F.map_values("_m"), F.lit(0.0), lambda s, v: s + (v * v).cast("double")))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("_m", i.cast("long")).cast("double"), F.lit(0.0)) / norm)
-    zeros = F.array_repeat(F.lit(0.0), dimension)
-    return df.select(key).join(rows.select(key, dense.alias("dense")), key, "left").select(key, F.coalesce("dense", zeros).alias("dense"))
+    return add_hash_dense(df.select(key, text), text, dimension, way).select(key, "dense")
+
+
+def add_hash_dense(df: DataFrame, text: str, dimension: int = 64, way: str = "md5") -> DataFrame:
+    """All columns and ``dense``."""
+
+    def build(row: np.ndarray, bucket: np.ndarray, n: int):
+        count = np.bincount(row * dimension + bucket, minlength=n * dimension).reshape(n, dimension).astype(float)
+        norm = np.sqrt((count * count).sum(axis=1, keepdims=True))
+        count /= np.where(norm > 0, norm, 1)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), pa.array(count.ravel()))], None
+
+    return _cells(df, df.columns, text, dimension, way, build, [T.StructField("dense", T.ArrayType(T.DoubleType()))])
 
 
 def model_dense(df: DataFrame, text: str, make: Callable[[], DenseEmbedder], queries: bool = False, batch: int = 32) -> DataFrame:

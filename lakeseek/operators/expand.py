@@ -6,6 +6,8 @@ import json
 import re
 from collections.abc import Callable
 
+from ..functions.retry import retry
+
 Complete = Callable[[str], str]
 _BULLET = re.compile(r"\s*(?:\d+[.)]|[-*•])?\s*")
 
@@ -36,9 +38,9 @@ def distinct_variants(query: str, found: list[str], most: int) -> list[str]:
 
 
 def expand(query: str, complete: Complete, most: int = 3) -> list[str]:
-    """Variants of a query; whatever fails, there are none."""
+    """Variants of a query; passing failures are tried again, and whatever fails then, there are none."""
     prompt = f"Give {most} other wordings of this search query as a JSON list of strings.\nQuery: {query}"
     try:
-        return distinct_variants(query, parse_list(complete(prompt)), most)
+        return distinct_variants(query, parse_list(retry(lambda: complete(prompt))), most)
     except Exception:
         return []

@@ -40,24 +40,28 @@ class TemporalFilter:
         return None if self.include_inactive else F.col("is_active")
 
 
-def _one(key: str, value: Any, column: str) -> Column:
+#: JSON types by the SQL type of a value: of a scalar, and of an array of them.
+_JSON = {"boolean": ("^BOOLEAN", "^ARRAY<BOOLEAN>"), "double": ("^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "^ARRAY<(BIGINT|DOUBLE|DECIMAL)"), "string": ("^STRING", "^ARRAY<STRING>")}
+
+
+def _any(key: str, values: Sequence[bool | int | str], column: str) -> Column:
+    """Any of the values, each by equality of the same JSON type; the document is parsed once a type, not once a value."""
     path = "$." + key
     doc = F.try_parse_json(F.col(column))
-    got = F.variant_get(doc, path, "variant")
-    kind = F.schema_of_variant(got)
-    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    if isinstance(value, bool):
-        test, cast = kind == "BOOLEAN", "boolean"
-    elif isinstance(value, int):
-        test, cast = number, "double"
-    else:
-        test, cast = kind == "STRING", "string"
-    exact = test & (F.try_variant_get(doc, path, cast) == F.lit(value))
-    # an array matches if one of its elements does
-    items = F.try_variant_get(doc, path, f"array<{'string' if cast == 'string' else cast}>")
-    plain = F.lit({"boolean": "^ARRAY<BOOLEAN>", "double": "^ARRAY<(BIGINT|DOUBLE|DECIMAL)", "string": "^ARRAY<STRING>"}[cast])
-    among = F.rlike(kind, plain) & F.array_contains(items, F.lit(float(value) if cast == "double" else value))
-    return F.coalesce(exact | among, exact, F.lit(False))
+    kind = F.schema_of_variant(F.variant_get(doc, path, "variant"))
+    groups: dict[str, list] = {}
+    for v in values:
+        cast = "boolean" if isinstance(v, bool) else "double" if isinstance(v, int) else "string"
+        groups.setdefault(cast, []).append(float(v) if cast == "double" else v)
+    out = None
+    for cast, group in groups.items():
+        scalar, array = _JSON[cast]
+        exact = F.rlike(kind, F.lit(scalar)) & F.try_variant_get(doc, path, cast).isin(group)
+        # an array matches if one of its elements does
+        among = F.rlike(kind, F.lit(array)) & F.arrays_overlap(F.try_variant_get(doc, path, f"array<{cast}>"), F.array(*map(F.lit, group)))
+        now = F.coalesce(exact | among, exact, F.lit(False))
+        out = now if out is None else out | now
+    return out
 
 
 def _range(key: str, bounds: Mapping[str, Any], column: str) -> Column:
@@ -76,15 +80,13 @@ def metadata(conditions: Mapping[str, Any] | None, column: str = "meta") -> Colu
     out = None
     for key, value in (conditions or {}).items():
         if isinstance(value, (bool, int, str)):
-            c = _one(key, value, column)
+            c = _any(key, [value], column)
         elif isinstance(value, float):
             c = _range(key, {"gte": value, "lte": value}, column)
         elif isinstance(value, Sequence):
             if not value or not all(isinstance(v, (bool, int, str)) for v in value):
                 raise StoreError(f"any-of for {key!r} takes bools, ints and strings")
-            c = _one(key, value[0], column)
-            for v in value[1:]:
-                c = c | _one(key, v, column)
+            c = _any(key, value, column)
         elif isinstance(value, Mapping) and value and set(value) <= set(_BOUNDS):
             c = _range(key, value, column)
         else:

@@ -17,10 +17,10 @@ from ..functions import expr
 from ..functions.types import document_type as typed
 from ..functions.types import normalise_type, utc_now
 from ..operators import search
-from ..operators.chunk import CHUNK_FIELDS, chunk_documents
-from ..operators.embed import hash_dense, model_dense, model_sparse
+from ..operators.chunk import chunk_documents
+from ..operators.embed import add_hash_dense, hash_dense, model_dense, model_sparse
 from ..operators.expand import expand
-from ..sources.files import chunk_pdf, read_bytes, read_documents
+from ..sources.files import pdf_chunks, read_documents
 from .filters import TemporalFilter, every, metadata, require
 from .store import Store
 
@@ -37,13 +37,14 @@ def retrieve_from(
     dense: Callable[[DataFrame], DataFrame] | None = None,
     rerank: Callable[[list[tuple[str, str]]], list[float]] | None = None,
     sparse: Callable[[DataFrame], DataFrame] | None = None,
+    stored: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """The whole pipeline over current points for (``query_id``, ``query``) rows and optional ``variant`` rows.
 
     ``queries`` may hold several rows of one ``query_id``: ``variant`` 0 is the
     query itself, the rest are expansions. Every variant is searched twice,
     all lists are fused, the pool is reranked by the query itself, and parents
-    are looked up.
+    are looked up. ``stored``: postings and statistics of the collection, if a store keeps them.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -59,15 +60,14 @@ def retrieve_from(
     if sparse is not None:
         words = search.sparse_dot_topk(sparse(as_queries).where(F.col("sparse").isNotNull()), searchable.where(F.col("sparse").isNotNull()), s.per_query_limit)
     else:
-        words = search.bm25_topk(as_queries, searchable, s.per_query_limit, collection=points if s.idf_scope == "collection" else None, k1=s.bm25_k1, b=s.bm25_b)
+        words = search.bm25_topk(as_queries, searchable, s.per_query_limit, collection=points if s.idf_scope == "collection" else None, k1=s.bm25_k1, b=s.bm25_b, stored=stored if s.idf_scope == "collection" else None)
     names = asked.select(F.col("_key"), F.col("query_id").alias("_q"), "variant")
     lists = []
     for offset, found in enumerate((near, words)):
         lists.append(found.join(names, found["query_id"] == names["_key"]).select(F.col("_q").alias("query_id"), "point_id", "rank", (2 * F.col("variant") + offset).alias("list_no")))
     every_list = lists[0].unionByName(lists[1])
     fused = every_list.groupBy("query_id", "point_id").agg(expr.rrf_score(F.collect_list(F.struct("list_no", F.col("rank").cast("long").alias("rank"))), s.rrf_k).alias("rrf_score"), F.min("rank").alias("best_rank"))
-    order = Window.partitionBy("query_id").orderBy(F.round("rrf_score", 12).desc(), "best_rank", "point_id")
-    pool = fused.withColumn("position", F.row_number().over(order) - 1).where(F.col("position") < s.candidate_pool_size)
+    pool = search.first_rows(fused, s.candidate_pool_size, "position", F.round("rrf_score", 12).desc(), F.col("best_rank").asc(), F.col("point_id").asc())
     pool = pool.join(points, "point_id").join(queries.where("variant = 0").select("query_id", "query"), "query_id")
     if rerank is not None:
         hits = search.rerank_model(pool, limit, rerank, s.rerank_fail_open, most=s.rerank_max_chars)
@@ -121,39 +121,46 @@ class Lakeseek:
     def close(self) -> None:
         """Nothing is held open; closing is for symmetry with other stores."""
 
-    def ingest(self, docs: DataFrame, now: datetime | None = None) -> DataFrame:
+    def ingest(self, docs: DataFrame, now: datetime | None = None, ingest_id: str | None = None) -> DataFrame:
         """Ingests (document_id, document_type, content[, source, meta, seq]) rows as new versions; returns (document_id, version).
 
         Rows of one document become successive versions in the order of ``seq``.
+        An ``ingest_id`` makes a repeated call the same ingest: what it made is returned, and nothing is made again.
         """
         for name, kind in (("source", "string"), ("meta", "string"), ("seq", "long")):
             if name not in docs.columns:
                 docs = docs.withColumn(name, F.lit(None).cast(kind))
         docs = docs.select("document_id", typed(F.col("document_type")).alias("document_type"), "source", "content", "meta", "seq")
         order = Window.partitionBy("document_id").orderBy(F.col("seq").asc_nulls_first(), F.xxhash64("content"))
-        last = self.store.latest().select("document_id", F.col("version").alias("_last"))
-        docs = docs.withColumn("_nth", F.row_number().over(order)).join(last, "document_id", "left")
-        docs = docs.withColumn("version", (F.coalesce("_last", F.lit(0)) + F.col("_nth")).cast("int")).drop("_nth", "_last", "seq")
-        return self._write(chunk_documents(docs, self.s), now)
-
-    def _write(self, chunks: DataFrame, now: datetime | None) -> DataFrame:
-        """Embeds chunks of new versions, appends them, then their events."""
-        now, ingest = now or utc_now(), uuid.uuid4().hex
-        chunks = build_points(chunks)
+        numbered = docs.withColumn("_nth", F.row_number().over(order))
+
+        def chunks() -> DataFrame:
+            last = self.store.latest().select("document_id", F.col("version").alias("_last"))
+            new = numbered.join(last, "document_id", "left")
+            return chunk_documents(new.withColumn("version", (F.coalesce("_last", F.lit(0)) + F.col("_nth")).cast("int")).drop("_nth", "_last", "seq"), self.s)
+
+        return self._write(chunks, now, ingest_id)
+
+    def _write(self, make: Callable[[], DataFrame], now: datetime | None, ingest_id: str | None = None) -> DataFrame:
+        """Embeds chunks of new versions, appends them, then their events; ``make`` gives the chunks once the store is claimed."""
+        now, ingest = now or utc_now(), ingest_id or uuid.uuid4().hex
         ts = now.timestamp()
-        if self.embedder is None:
-            chunks = chunks.join(hash_dense(chunks.select("point_id", "content"), "point_id", "content", self.s.dense_dimension), "point_id")
-        else:
-            chunks = model_dense(chunks, "content", self.embedder)
-        if self.sparse_embedder is None:
-            chunks = chunks.withColumn("sparse", F.lit(None).cast("struct<indices:array<bigint>,values:array<double>>"))
-        else:
-            chunks = model_sparse(chunks, "content", self.sparse_embedder)
-        points = chunks.withColumn("valid_from", F.lit(ts)).withColumn("valid_from_iso", F.lit(now.isoformat())).withColumn("ingest_id", F.lit(ingest)).withColumn("meta", F.coalesce("meta", F.lit("{}")))
-        self.store.upsert(points)
-        new = self.store.points().where(F.col("ingest_id") == ingest).select("document_id", "version").distinct()
-        self.store.append_ingests(new.select("document_id", "version", F.lit(ingest).alias("ingest_id"), F.lit(ts).alias("ts"), F.lit(now.isoformat()).alias("ts_iso")))
-        return new
+        with self.store.claim():
+            if ingest_id is None or not self.store.knows(ingest):
+                chunks = build_points(make())
+                if self.embedder is None:
+                    chunks = add_hash_dense(chunks, "content", self.s.dense_dimension)
+                else:
+                    chunks = model_dense(chunks, "content", self.embedder)
+                if self.sparse_embedder is None:
+                    chunks = chunks.withColumn("sparse", F.lit(None).cast("struct<indices:array<bigint>,values:array<double>>"))
+                else:
+                    chunks = model_sparse(chunks, "content", self.sparse_embedder)
+                points = chunks.withColumn("valid_from", F.lit(ts)).withColumn("valid_from_iso", F.lit(now.isoformat())).withColumn("ingest_id", F.lit(ingest)).withColumn("meta", F.coalesce("meta", F.lit("{}"))).withColumn("n_words", F.size(expr.tokens(F.col("content"))).cast("long"))
+                self.store.upsert(points, ingest, again=ingest_id is not None)
+                new = self.store.points().where(F.col("ingest_id") == ingest).select("document_id", "version").distinct()
+                self.store.append_ingests(new.select("document_id", "version", F.lit(ingest).alias("ingest_id"), F.lit(ts).alias("ts"), F.lit(now.isoformat()).alias("ts_iso")))
+        return self.store.events().where((F.col("ingest_id") == ingest) & (F.col("kind") == "ingest")).select("document_id", "version")
 
     def ingest_text(self, content: str, document_type: str, metadata: Mapping[str, Any] | None = None, source_name: str = "", now: datetime | None = None) -> str:
         """Ingests one text; its id is ``document_id`` of the metadata, else from the source name, else random."""
@@ -184,16 +191,23 @@ class Lakeseek:
         row = read_documents(self.spark, path, document_type).first()
         return self.ingest_text(row["content"], document_type, {"document_id": row["document_id"]} | meta, row["source"])
 
-    def _ingest_pdf(self, path: str, kind: str, meta: dict) -> str:
-        raw, source = read_bytes(self.spark, path)
-        pieces = chunk_pdf(raw, kind, str(meta.get("domain", "")), self.s, source)
+    def ingest_pdfs(self, paths: str | list[str], document_type: str = "pdf", metadata: Mapping[str, Any] | None = None, now: datetime | None = None) -> DataFrame:
+        """Ingests PDF files, each read and chunked by the task that holds it; ids come from the file names, or one file's from the metadata."""
+        kind, meta = normalise_type(document_type), dict(metadata or {})
         given = meta.pop("document_id", None)
-        name = str(given or self.spark.range(1).select(expr.slug(expr.stem(F.lit(source)))).first()[0] or uuid.uuid4().hex)
-        last = self.store.latest().where(F.col("document_id") == name).first()
-        rows = [(name, kind, source, json.dumps(meta, ensure_ascii=False), (last["version"] if last else 0) + 1, p.serial, p.parent, p.kind, p.role, p.path, p.searchable, p.tokens, p.content, json.dumps(p.extra, ensure_ascii=False, sort_keys=True)) for p in pieces]
-        fields = "document_id string, document_type string, source string, meta string, version int, " + CHUNK_FIELDS.rpartition(", ")[0]
-        self._write(self.spark.createDataFrame(rows, fields), None)
-        return name
+        found = pdf_chunks(self.spark, paths, kind, str(meta.get("domain", "")), self.s)
+        if given is not None:
+            found = found.withColumn("document_id", F.lit(str(given)))
+        found = found.withColumn("meta", F.lit(json.dumps(meta, ensure_ascii=False)))
+
+        def chunks() -> DataFrame:
+            last = self.store.latest().select("document_id", F.col("version").alias("_last"))
+            return found.join(last, "document_id", "left").withColumn("version", (F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("_last")
+
+        return self._write(chunks, now)
+
+    def _ingest_pdf(self, path: str, kind: str, meta: dict) -> str:
+        return self.ingest_pdfs(path, kind, meta).first()["document_id"]
 
     def retrieve(self, queries: DataFrame, limit: int = 5, temporal_filter: Any = None, metadata_filter: Mapping[str, Any] | None = None, include_parent_context: bool = True) -> DataFrame:
         """Result rows for (``query_id``, ``query``) rows."""
@@ -203,7 +217,7 @@ class Lakeseek:
         where = every(TemporalFilter.of(temporal_filter).predicate(), metadata(metadata_filter))
         dense = None if self.embedder is None else lambda q: model_dense(q, "query", self.embedder, queries=True)
         sparse = None if self.sparse_embedder is None else lambda q: model_sparse(q, "query", self.sparse_embedder, queries=True)
-        return retrieve_from(self.store.current(), queries.withColumn("query", expr.strip(F.col("query"))), self.s, limit, where, include_parent_context, dense, self.reranker, sparse)
+        return retrieve_from(self.store.current(), queries.withColumn("query", expr.strip(F.col("query"))), self.s, limit, where, include_parent_context, dense, self.reranker, sparse, self.store.postings())
 
     def retrieve_one(self, query: str, limit: int = 5, temporal_filter: Any = None, metadata_filter: Mapping[str, Any] | None = None, include_parent_context: bool = True) -> list[dict]:
         """Result dictionaries for one query, best first, with expansion if there is a language model."""

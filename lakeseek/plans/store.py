@@ -1,24 +1,30 @@
-"""Versioned store: two append-only Parquet tables, validity derived from events.
+"""Versioned store: append-only Parquet tables, validity derived from events.
 
-``points`` holds chunks and never changes. ``doc_events`` holds ingests and
+``points`` holds chunks and never changes; ``postings`` holds their word counts, in
+partitions of words. ``doc_events`` holds ingests and
 deactivations; an ingest appends its points first and its event last, so a
-crash leaves points that no event names, and readers don't see them.
+crash leaves points that no event names, and readers don't see them. A writer
+holds a claim file while it makes versions, so two can't make the same.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError, StoreError
+from ..operators.search import postings, term_bucket
 
 POINTS = (
     "point_id string, document_id string, document_type string, source string, chunk_type string, chunk_role string, searchable boolean, sequence int, hierarchy array<string>, parent_point_id string, "
-    "version int, valid_from double, valid_from_iso string, token_estimate int, content string, meta string, chunk_extra string, dense array<double>, sparse struct<indices:array<bigint>,values:array<double>>, ingest_id string"
+    "version int, valid_from double, valid_from_iso string, token_estimate int, content string, n_words long, meta string, chunk_extra string, dense array<double>, sparse struct<indices:array<bigint>,values:array<double>>, ingest_id string"
 )
+POSTINGS = "point_id string, ingest_id string, len long, term string, tf long, bucket int"
 EVENTS = "document_id string, event_seq long, ingest_id string, kind string, version int, before_version int, ts double, ts_iso string"
 
 
@@ -30,8 +36,8 @@ def validity(events: DataFrame) -> DataFrame:
     """
     ingests = events.where("kind = 'ingest'")
     order = Window.partitionBy("document_id").orderBy("version")
-    starts = ingests.select("document_id", "version", "ingest_id", "event_seq", F.col("ts").alias("valid_from"), F.col("ts_iso").alias("valid_from_iso"), F.lead(F.struct("ts", "ts_iso")).over(order).alias("_next"))
-    stops = events.where("kind = 'deactivate'").select(F.col("document_id").alias("_d"), F.col("event_seq").alias("_s"), F.col("before_version").alias("_b"), F.struct("ts", "ts_iso").alias("_stop"))
+    starts = ingests.select("document_id", "version", "ingest_id", "event_seq", F.col("ts").alias("valid_from"), F.col("ts_iso").alias("valid_from_iso"), F.lead(F.struct("event_seq", "ts", "ts_iso")).over(order).alias("_next"))
+    stops = events.where("kind = 'deactivate'").select(F.col("document_id").alias("_d"), F.col("event_seq").alias("_s"), F.col("before_version").alias("_b"), F.struct("event_seq", "ts", "ts_iso").alias("_stop"))
     covered = starts.join(stops, (F.col("document_id") == F.col("_d")) & (F.col("_s") > F.col("event_seq")) & (F.col("_b").isNull() | (F.col("version") < F.col("_b"))), "left")
     keys = ["document_id", "version", "ingest_id", "valid_from", "valid_from_iso"]
     out = covered.groupBy(*keys).agg(F.least(F.min("_next"), F.min("_stop")).alias("_end"))
@@ -46,7 +52,9 @@ def history(versions: DataFrame, points: DataFrame) -> DataFrame:
 
 
 class Store:
-    """The two tables under a path. One writer at a time; a version that two writers made is detected after the append."""
+    """The tables under a path. Writers take turns by a claim file, which is made atomically; one older than ``stale`` seconds is a dead writer's."""
+
+    stale = 6 * 3600
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -63,6 +71,7 @@ class Store:
             if have != dimension:
                 raise ConfigurationError(f"the store holds vectors of dimension {have}, not {dimension}")
             return
+        self.spark.createDataFrame([], POSTINGS).write.partitionBy("bucket").mode("append").parquet(f"{self.path}/postings")
         for name, schema in (("points", POINTS), ("doc_events", EVENTS)):
             self.spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
         out = fs.create(p)
@@ -84,12 +93,54 @@ class Store:
         """(document_id, version): the last version of each document, active or not."""
         return self.events().where("kind = 'ingest'").groupBy("document_id").agg(F.max("version").alias("version"))
 
-    def upsert(self, points: DataFrame) -> None:
-        """Appends points that the table lacks by (point_id, ingest_id); rows of a document lie together, so its statistics prune."""
-        have = self.points().select("point_id", "ingest_id")
-        fresh = points.join(have, ["point_id", "ingest_id"], "left_anti")
+    @contextmanager
+    def claim(self, wait: float = 60.0):
+        """Holds the store for one writer; waits for another, and fails after ``wait`` seconds."""
+        fs, p = self._fs("writer.claim")
+        until = time.time() + wait
+        while True:
+            try:
+                fs.create(p, False).close()  # fails if it is there
+                break
+            except Exception as e:
+                if not fs.exists(p):
+                    if time.time() > until:
+                        raise StoreError(f"the store can't be claimed: {str(e).splitlines()[0]}") from e
+                elif time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > self.stale:
+                    fs.delete(p, False)
+                elif time.time() > until:
+                    raise StoreError("another writer holds the store") from e
+                time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
+
+    def knows(self, ingest_id: str) -> bool:
+        """Whether an event names this ingest."""
+        return not self.events().where(F.col("ingest_id") == ingest_id).isEmpty()
+
+    def upsert(self, points: DataFrame, ingest_id: str, again: bool = False) -> None:
+        """Appends the points of an ingest and their postings; rows of a document lie together, so its statistics prune.
+
+        ``again``: an ingest of this id may have died half way; what it left isn't written twice.
+        """
         names = [f.name for f in self.points().schema]
-        fresh.select(*names).repartition("document_id").sortWithinPartitions("document_id", "version", "sequence").write.mode("append").parquet(f"{self.path}/points")
+        points = points.select(*names)
+        if again:
+            points = points.join(self.points().where(F.col("ingest_id") == ingest_id).select("point_id"), "point_id", "left_anti").select(*names)
+        points.repartition("document_id").sortWithinPartitions("document_id", "version", "sequence").write.mode("append").parquet(f"{self.path}/points")
+        found = postings(self.points().where(F.col("ingest_id") == ingest_id), "point_id", "content", "ingest_id").withColumn("bucket", term_bucket(F.col("term")))
+        if again:
+            found = found.join(self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where(F.col("ingest_id") == ingest_id).select("point_id", "term"), ["point_id", "term"], "left_anti")
+        found.select("point_id", "ingest_id", "len", "term", "tf", "bucket").repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+
+    def postings(self) -> tuple[DataFrame, DataFrame]:
+        """Postings of all named ingests, and one row of their number of points and mean length."""
+        named = self.events().where("kind = 'ingest'").select("ingest_id").distinct()
+        every = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").join(named, "ingest_id", "left_semi")
+        total = self.points().select("ingest_id", "n_words").join(named, "ingest_id", "left_semi").agg(F.count("*").alias("n"), F.avg("n_words").alias("avg_len"))
+        return every, total
 
     def _next_seq(self) -> int:
         return (self.events().agg(F.max("event_seq")).first()[0] or 0) + 1
@@ -100,9 +151,6 @@ class Store:
         order = Window.partitionBy("document_id").orderBy("version")
         rows = versions.select("document_id", (F.row_number().over(order) - 1 + seq).cast("long").alias("event_seq"), "ingest_id", F.lit("ingest").alias("kind"), "version", F.lit(None).cast("int").alias("before_version"), "ts", "ts_iso")
         rows.write.mode("append").parquet(f"{self.path}/doc_events")
-        twice = self.events().where("kind = 'ingest'").groupBy("document_id", "version").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-        if twice:
-            raise StoreError(f"two writers made version {twice[0]['version']} of {twice[0]['document_id']!r}")
 
     def deactivate(self, document_id: str, ts: float, ts_iso: str, before_version: int | None = None) -> int:
         """Ends the active versions of a document, or those before a version; the number of points that this concerns."""

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import template_queries
 from .config import Settings
+from .errors import RerankingError
 from .functions import expr
 from .functions.types import ALIASES, document_type
 from .operators import search
 from .operators.chunk import chunk_documents, windows
-from .operators.embed import hash_dense, hash_sparse
+from .operators.embed import add_hash_dense, hash_dense, hash_sparse
 from .operators.expand import distinct_variants, parse_list
 from .plans.filters import TemporalFilter, every, metadata, require
-from .plans.service import build_points, retrieve_from
-from .plans.store import history, validity
+from .plans.service import Lakeseek, build_points, retrieve_from
+from .plans.store import Store, history, validity
+from .sources.files import decode
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,14 +257,103 @@ def all_versions(spark, sf_dir):
 @query(
     "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS document_id, event_id, event_type, epoch_us(ts) / 1e6 AS ts FROM events), "
     "i AS (SELECT document_id, event_id, ts, CAST(row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS INTEGER) AS version FROM e WHERE event_type <> 'error'), "
-    "n AS (SELECT *, lead(ts) OVER (PARTITION BY document_id ORDER BY version) AS next FROM i), "
-    "s AS (SELECT n.document_id, n.event_id, min(e.ts) AS stop FROM n JOIN e ON e.document_id = n.document_id AND e.event_type = 'error' AND e.event_id > n.event_id GROUP BY n.document_id, n.event_id) "
-    "SELECT n.document_id, n.version, round(n.ts, 5) AS valid_from, round(CASE WHEN n.next IS NULL THEN s.stop WHEN s.stop IS NULL THEN n.next ELSE least(n.next, s.stop) END, 5) AS valid_to, n.next IS NULL AND s.stop IS NULL AS is_active FROM n LEFT JOIN s ON s.document_id = n.document_id AND s.event_id = n.event_id"
+    "n AS (SELECT *, lead(ts) OVER (PARTITION BY document_id ORDER BY version) AS next, lead(event_id) OVER (PARTITION BY document_id ORDER BY version) AS next_id FROM i), "
+    "s AS (SELECT n.document_id, n.event_id, arg_min(e.ts, e.event_id) AS stop, min(e.event_id) AS stop_id FROM n JOIN e ON e.document_id = n.document_id AND e.event_type = 'error' AND e.event_id > n.event_id GROUP BY n.document_id, n.event_id) "
+    "SELECT n.document_id, n.version, round(n.ts, 5) AS valid_from, round(CASE WHEN n.next IS NULL THEN s.stop WHEN s.stop IS NULL OR n.next_id < s.stop_id THEN n.next ELSE s.stop END, 5) AS valid_to, n.next IS NULL AND s.stop IS NULL AS is_active FROM n LEFT JOIN s ON s.document_id = n.document_id AND s.event_id = n.event_id"
 )
 def deactivate(spark, sf_dir):
     return validity(event_log(spark, sf_dir, stops=True)).select(*_shown())
 
 
+@query(
+    _LOG[:-1].replace("lead(ts) OVER (PARTITION BY document_id ORDER BY version) AS valid_to", "lead(ts) OVER w AS next, lead(event_id) OVER w AS next_id").replace("FROM e)", "FROM i WINDOW w AS (PARTITION BY document_id ORDER BY version))").replace(
+        "CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS version FROM events)", "event_type FROM events), i AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS INTEGER) AS version FROM e WHERE event_type <> 'error')"
+    )
+    + ", s AS (SELECT v.document_id, v.version, arg_min(e.ts, e.event_id) AS stop, min(e.event_id) AS stop_id FROM v JOIN e ON e.document_id = v.document_id AND e.event_type = 'error' AND e.event_id > v.event_id AND v.version < 3 GROUP BY ALL) "
+    "SELECT v.document_id, v.version, round(v.valid_from, 5) AS valid_from, round(CASE WHEN v.next IS NULL THEN s.stop WHEN s.stop IS NULL OR v.next_id < s.stop_id THEN v.next ELSE s.stop END, 5) AS valid_to, v.next IS NULL AND s.stop IS NULL AS is_active FROM v LEFT JOIN s ON s.document_id = v.document_id AND s.version = v.version"
+)
+def deactivate_before(spark, sf_dir):
+    """Deactivations that cover versions before the third alone."""
+    log = event_log(spark, sf_dir, stops=True)
+    return validity(log.withColumn("before_version", F.when(F.col("kind") == "deactivate", F.lit(3)))).select(*_shown())
+
+
+class Frames(Store):
+    """A store over given tables."""
+
+    def __init__(self, events: DataFrame, points: DataFrame):
+        self._events, self._points = events, points
+
+    def events(self) -> DataFrame:
+        return self._events
+
+    def points(self) -> DataFrame:
+        return self._points
+
+
+def frames(spark: SparkSession, sf_dir: str) -> Frames:
+    log = event_log(spark, sf_dir, stops=True)
+    points = log.where("kind = 'ingest'").select("document_id", "version", "ingest_id", F.concat_ws("/", "document_id", F.col("version").cast("string")).alias("point_id"), (F.col("event_seq") % 2 == 0).alias("searchable"))
+    return Frames(log, points)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS document_id, CAST(count(*) AS INTEGER) AS version FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def latest_version(spark, sf_dir):
+    return frames(spark, sf_dir).latest()
+
+
+@query("SELECT CAST(user_id AS VARCHAR) || '/' || version AS point_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, max(event_id) OVER (PARTITION BY user_id) AS last, event_type FROM events WHERE event_type <> 'error') WHERE event_id = last AND event_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = user_id AND e.event_type = 'error' AND e.event_id > last)".replace("e.user_id = user_id", "e.user_id = x.user_id").replace("e.event_id > last", "e.event_id > x.last").replace("'error') WHERE event_id = last", "'error') x WHERE x.event_id = x.last").replace("AND event_id % 2", "AND x.event_id % 2"))
+def scroll_active(spark, sf_dir):
+    """A filtered scan of current points with the asked column."""
+    return frames(spark, sf_dir).scroll(F.col("is_active") & F.col("searchable"), ("point_id",))
+
+
+@query("SELECT doc_id AS point_id, md5(text) AS content_md5, CAST(0 AS DOUBLE) AS score FROM documents WHERE doc_id IN (0, 3, 7, 100, 200)")
+def fetch_points(spark, sf_dir):
+    """Points by id; an unknown id gives no row."""
+    return search.fetch_by_ids(document_points(spark, sf_dir), [0, 3, 7, 100, 200, -5]).select("point_id", F.md5("content").alias("content_md5"), "score")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a store: in ``spark.checkpoint.dir``, or a temporary one on a local master without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lakeseek-")
+    return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def supplier_store(spark: SparkSession, sf_dir: str) -> Lakeseek:
+    """A store with two versions of a document for each supplier; those of even keys are deactivated before the third."""
+    engine = Lakeseek(spark, scratch(spark), Settings())
+    s = table(spark, sf_dir, "supplier")
+    docs = [s.select(F.col("s_suppkey").cast("string").alias("document_id"), F.lit("text").alias("document_type"), F.concat(F.col("s_name"), F.lit(f" version {v}")).alias("content"), F.to_json(F.struct(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 2 == 0).alias("even"), F.lit(v).alias("edition"))).alias("meta"), F.lit(v).cast("long").alias("seq")) for v in (1, 2)]
+    engine.ingest(docs[0], datetime.fromtimestamp(1000, UTC), "first")
+    engine.ingest(docs[0], datetime.fromtimestamp(1500, UTC), "first")  # a repeated call: nothing happens
+    engine.ingest(docs[1], datetime.fromtimestamp(2000, UTC))
+    return engine
+
+
+@query(
+    "SELECT CAST(s_suppkey AS VARCHAR) AS document_id, CAST(v AS INTEGER) AS version, v = 2 AS is_active, CASE v WHEN 1 THEN '1970-01-01T00:16:40+00:00' ELSE '1970-01-01T00:33:20+00:00' END AS valid_from, CASE v WHEN 1 THEN '1970-01-01T00:33:20+00:00' END AS valid_to, CAST(1 AS BIGINT) AS chunk_count FROM supplier, (SELECT unnest([1, 2]) AS v)"
+)
+def store_history(spark, sf_dir):
+    """Ingests through the whole engine into a store, one of them twice under one id, and lists the versions."""
+    return supplier_store(spark, sf_dir).store.history()
+
+
+@query(
+    "SELECT CAST(s_suppkey AS VARCHAR) AS query_id, CAST(s_suppkey AS VARCHAR) AS document_id, CAST(1 AS INTEGER) AS version, false AS is_active, md5(s_name || ' version 1') AS content_md5 FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 100 = 0"
+)
+def store_retrieve(spark, sf_dir):
+    """Retrieval from a store as of the first version, by name, under conditions on metadata of three types."""
+    engine = supplier_store(spark, sf_dir)
+    asked = table(spark, sf_dir, "supplier").where("s_suppkey % 100 = 0").select(F.col("s_suppkey").cast("string").alias("query_id"), F.col("s_name").alias("query"))
+    hits = engine.retrieve(asked, 1, {"as_of": 1500}, {"even": True, "nation": {"gte": 0}, "edition": [1, 7]})
+    return hits.select("query_id", "document_id", "version", "is_active", F.md5("content").alias("content_md5"))
+
+
 # metadata
 
 
@@ -288,6 +383,43 @@ def meta_float(spark, sf_dir):
     return m.where(metadata({"size.half": 500.0}) | metadata({"n_chars": 500})).select("doc_id")
 
 
+def typed_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of all JSON types: flags, whole and broken numbers, a number as text, lists and missing keys."""
+    even = F.col("doc_id") % 2 == 0
+    fields = F.struct(even.alias("even"), F.when(even, 1).otherwise(0).alias("one"), (F.col("doc_id") % 7).alias("week"), (F.col("n_chars") / 8).alias("ratio"), (F.col("doc_id") % 7).cast("string").alias("text"), F.array(F.col("doc_id") % 3, F.col("doc_id") % 5).alias("list"), F.when(even, F.lit("x")).alias("some"), F.struct((F.col("doc_id") % 4).alias("deep")).alias("in"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(fields).alias("meta"))
+
+
+#: Name, condition and its SQL over documents; a value of another type never matches.
+_TYPED = [
+    ("bool", {"even": True}, "doc_id % 2 = 0"),
+    ("bool_false", {"even": False}, "doc_id % 2 = 1"),
+    ("bool_is_no_number", {"one": True}, "false"),
+    ("number_is_no_bool", {"even": 1}, "false"),
+    ("int", {"week": 3}, "doc_id % 7 = 3"),
+    ("int_is_no_text", {"text": 3}, "false"),
+    ("text", {"text": "3"}, "doc_id % 7 = 3"),
+    ("int_any", {"week": [1, 5, 9]}, "doc_id % 7 IN (1, 5)"),
+    ("mixed_any", {"text": [1, "2"]}, "doc_id % 7 = 2"),
+    ("list", {"list": 4}, "doc_id % 5 = 4"),
+    ("list_any", {"list": [2, 4]}, "doc_id % 3 = 2 OR doc_id % 5 IN (2, 4)"),
+    ("float", {"ratio": 62.5}, "n_chars = 500"),
+    ("float_range", {"ratio": {"gt": 62.5, "lte": 250.25}}, "n_chars > 500 AND n_chars <= 2002"),
+    ("empty_range", {"week": {"gte": 5, "lt": 5}}, "false"),
+    ("range_of_text", {"text": {"gte": 0}}, "false"),
+    ("missing", {"none": 1}, "false"),
+    ("null", {"some": "x"}, "doc_id % 2 = 0"),
+    ("nested", {"in.deep": 2, "even": True}, "doc_id % 4 = 2"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, doc_id FROM documents WHERE {sql}" for name, _, sql in _TYPED))
+def meta_types(spark, sf_dir):
+    """Conditions of every kind, with hits and misses, over all documents in one pass."""
+    names = F.array_compact(F.array(*(F.when(metadata(c), F.lit(n)) for n, c, _ in _TYPED)))
+    return typed_meta(spark, sf_dir).select(F.explode(names).alias("name"), "doc_id")
+
+
 # embeddings and search
 
 _TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')"
@@ -342,9 +474,9 @@ def rrf_fusion(spark, sf_dir):
 
 
 def user_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First user turns of the conversations whose id is divisible by 100."""
+    """All user turns of the conversations whose id is divisible by 100."""
     c = table(spark, sf_dir, "conversations").where("conv_id % 100 = 0 and role = 'user'")
-    return c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("query"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
 
 
 def document_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,7 +484,7 @@ def document_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d
 
 
-_QUERIES = "q AS (SELECT conv_id AS query_id, arg_min(text, turn) AS query FROM conversations WHERE conv_id % 100 = 0 AND role = 'user' GROUP BY conv_id)"
+_QUERIES = "q AS (SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations WHERE conv_id % 100 = 0 AND role = 'user')"
 _BM25 = (
     f"w AS (SELECT doc_id AS id, unnest({_TOKENS.format('text')}) AS w FROM documents), tf AS (SELECT id, w, count(*) AS tf FROM w GROUP BY ALL), len AS (SELECT id, sum(tf) AS len FROM tf GROUP BY id), "
     "n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len) FROM len) / (SELECT count(*) FROM documents) AS avg_len), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), "
@@ -380,6 +512,63 @@ def overlap_rerank(spark, sf_dir):
     return search.rerank_overlap(pool, 5).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(
+    f"WITH {_QUERIES}, {_BM25} SELECT query_id, point_id, CAST(rank AS INTEGER) AS rank, round(1.0::DOUBLE / (61 + rank), 9) AS score, 'rrf' AS score_origin FROM bm WHERE rank < 5 AND query_id % 2 = 0 "
+    "UNION ALL SELECT query_id, point_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY length(d.text) DESC, bm.rank) - 1 AS INTEGER) AS rank, CAST(length(d.text) AS DOUBLE) AS score, 'rerank' AS score_origin FROM bm JOIN documents d ON d.doc_id = bm.point_id WHERE query_id % 2 = 1 QUALIFY rank < 5"
+)
+def rerank_fail_open(spark, sf_dir):
+    """A plug-in that fails for some queries: those keep the fused order, the others are reranked."""
+    q, d = user_queries(spark, sf_dir), document_points(spark, sf_dir)
+    pool = search.bm25_topk(q, d, 50).select("query_id", "point_id", F.col("rank").alias("position"), (1.0 / (61 + F.col("rank"))).alias("rrf_score"))
+    pool = pool.join(d.select("point_id", "content"), "point_id").withColumn("query", F.when(F.col("query_id") % 2 == 0, "fail").otherwise("length"))
+
+    def score(pairs: list[tuple[str, str]]) -> list[float]:
+        if any(q == "fail" for q, _ in pairs):
+            raise RerankingError("no model for this query")
+        return [float(len(t)) for _, t in pairs]
+
+    # a batch holds queries of one kind, as a failure is a batch's
+    parts = [search.rerank_model(pool.where(F.col("query") == kind), 5, score, fail_open=True, most=1 << 30) for kind in ("fail", "length")]
+    return parts[0].unionByName(parts[1]).select("query_id", "point_id", F.col("rank").cast("int").alias("rank"), F.round("score", 9).alias("score"), "score_origin")
+
+
+_SPARSE = f"SELECT id, {_BUCKET.format(1000000)} AS term, CAST(count(*) AS DOUBLE) AS tf FROM {{0}} GROUP BY ALL"
+
+
+@query(
+    f"WITH {_QUERIES}, w AS (SELECT doc_id AS id, unnest({_TOKENS.format('text')}) AS w FROM documents), v AS (SELECT query_id AS id, unnest({_TOKENS.format('query')}) AS w FROM q), "
+    f"a AS ({_SPARSE.format('w')}), b AS ({_SPARSE.format('v')}), h AS (SELECT b.id AS query_id, a.id AS point_id, sum(a.tf * b.tf) AS score FROM a JOIN b ON a.term = b.term GROUP BY ALL) SELECT * FROM (SELECT *, {_RANK} FROM h) WHERE rank < 20"
+)
+def sparse_topk(spark, sf_dir):
+    """Stored sparse vectors met with sparse query vectors."""
+    as_column = lambda df, key: df.select(key, F.struct("indices", "values").alias("sparse"))
+    points = as_column(hash_sparse(document_points(spark, sf_dir), "point_id", "content"), "point_id")
+    return search.sparse_dot_topk(as_column(hash_sparse(user_queries(spark, sf_dir), "query_id", "query"), "query_id"), points, 20)
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, ('0x' || substr(sha1(w), 1, 8))::BIGINT % 4096 AS i FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), x -> x <> '')) AS w FROM documents)) GROUP BY ALL")
+def sha1_sparse_embed(spark, sf_dir):
+    """The other hash embedder: white-space words by sha1."""
+    v = hash_sparse(table(spark, sf_dir, "documents"), "doc_id", "text", 4096, way="sha1")
+    return v.select("doc_id", F.explode(F.arrays_zip("indices", "values")).alias("c")).select("doc_id", F.col("c.indices").cast("int").alias("term"), F.col("c.values").alias("tf"))
+
+
+@query("SELECT p_partkey, '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(trim(p_name), '|', '\|') || ' | ' || p_size || ' |' || chr(10) || '| a\|b |  |' AS markdown FROM part")
+def table_markdown(spark, sf_dir):
+    """Rows as a Markdown table: bars are escaped, empty rows go, short ones are filled."""
+    s = lambda x: F.lit(x).cast("string")
+    rows = F.array(F.array(s("name"), s("size")), F.array(s(None), s(" ")), F.array(F.col("p_name"), F.col("p_size").cast("string")), F.array(s("a|b")))
+    return table(spark, sf_dir, "part").select("p_partkey", expr.markdown_table(rows).alias("markdown"))
+
+
+@query("SELECT s_suppkey, md5('Grüße an ' || s_name) AS text_md5, true AS same FROM supplier")
+def text_decoding(spark, sf_dir):
+    """Bytes in UTF-8, or Latin-1 where they aren't."""
+    text = F.concat(F.lit("Grüße an "), F.col("s_name"))
+    read = [decode(F.encode(text, c)) for c in ("UTF-8", "ISO-8859-1")]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.md5(read[0]).alias("text_md5"), (read[0] == read[1]).alias("same"))
+
+
 _TENANT = _BM25.replace("FROM hit)", "FROM hit WHERE point_id IN (SELECT doc_id FROM documents WHERE source = 'src2'))")
 
 
@@ -412,8 +601,12 @@ _HYBRID = (
 def hybrid_retrieve(spark, sf_dir):
     """The flagship: hash vectors and BM25, fused, reranked, for a batch of user questions over all documents."""
     docs = document_points(spark, sf_dir).withColumn("doc_id", F.col("point_id")).withColumn("point_id", F.lpad(F.col("point_id").cast("string"), 12, "0"))
-    points = docs.join(hash_dense(docs, "point_id", "content"), "point_id")
+    points = add_hash_dense(docs, "content")
     text = lambda v: F.lit(v).cast("string")
     points = points.select("point_id", F.col("doc_id").cast("string").alias("document_id"), text("text").alias("document_type"), "source", text("text").alias("chunk_type"), text("standalone").alias("chunk_role"), F.lit(True).alias("searchable"), F.lit(0).alias("sequence"), F.array().cast("array<string>").alias("hierarchy"), text(None).alias("parent_point_id"), F.lit(1).alias("version"), text(None).alias("valid_from_iso"), text(None).alias("valid_to_iso"), F.lit(True).alias("is_active"), "content", text("{}").alias("meta"), text("{}").alias("chunk_extra"), "dense")
     hits = retrieve_from(points, user_queries(spark, sf_dir), Settings(), 5, include_parents=False)
     return hits.select("query_id", "rank", F.col("document_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), "score_origin")
+
+
+QUERIES.update(template_queries.QUERIES)
+ORACLE_SQL.update(template_queries.ORACLE_SQL)

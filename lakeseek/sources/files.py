@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import Settings
 from ..errors import ChunkingError, DocumentLoadError
 from ..functions import expr
 from ..functions.types import ALIASES
 from ..functions.types import document_type as typed
-from ..operators.chunk import clean_up, counter
+from ..operators.chunk import CHUNK_FIELDS, clean_up, counter
 from ..operators.structured import Piece, legal, plain
 
 
@@ -32,17 +35,6 @@ def read_documents(spark: SparkSession, paths: Sequence[str] | str, document_typ
     return df.select(expr.slug(expr.stem(name)).alias("document_id"), typed(F.lit(document_type)).alias("document_type"), name.alias("source"), decode(F.col("content")).alias("content"))
 
 
-def read_bytes(spark: SparkSession, path: str) -> tuple[bytes, str]:
-    """The bytes of one file, and its name."""
-    try:
-        row = spark.read.format("binaryFile").load(path).select("content", F.regexp_replace("path", r"^.*/", "").alias("name")).first()
-    except Exception as e:
-        raise DocumentLoadError(f"can't read {path}: {str(e).splitlines()[0]}") from e
-    if row is None:
-        raise DocumentLoadError(f"no file {path}")
-    return bytes(row["content"]), row["name"]
-
-
 def table_markdown(rows: Sequence[Sequence | None]) -> str:
     """``expr.markdown_table`` for one table on the driver or in a task."""
 
@@ -75,6 +67,32 @@ def chunk_pdf(raw: bytes, kind: str, domain: str, s: Settings, source: str = "")
     return out
 
 
+def pdf_chunks(spark: SparkSession, paths: Sequence[str] | str, kind: str, domain: str, s: Settings) -> DataFrame:
+    """Chunks of PDF files with ``document_id``, ``document_type`` and ``source``; a task reads the files that it holds."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    try:
+        files = spark.read.format("binaryFile").load(paths)
+    except Exception as e:
+        raise DocumentLoadError(f"can't read {paths}: {str(e).splitlines()[0]}") from e
+    name = F.regexp_replace("path", r"^.*/", "")
+    slugged = expr.slug(expr.stem(name))
+    files = files.select(F.when(slugged != "", slugged).otherwise(F.md5(name)).alias("document_id"), name.alias("source"), "content")
+    fields = "document_id string, document_type string, source string, " + CHUNK_FIELDS.rpartition(", ")[0]
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ident, source, raw = (c[k].as_py() for c in batch.columns)
+                pieces = chunk_pdf(raw, kind, domain, s, source)
+                rows = [(ident, kind, source, p.serial, p.parent, p.kind, p.role, p.path, p.searchable, p.tokens, p.content, json.dumps(p.extra, ensure_ascii=False, sort_keys=True)) for p in pieces]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    schema = spark.createDataFrame([], fields).schema
+    kinds = [to_arrow_type(f.dataType) for f in schema.fields]
+    return files.mapInArrow(run, schema)
+
+
 def pdf_text(raw: bytes, page_label: str = "Seite") -> tuple[str, list[tuple[int, list, str]]]:
     """Text with page marks, and (page, rows, context) of each table; needs pdfplumber."""
     try:

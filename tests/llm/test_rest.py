@@ -95,6 +95,42 @@ def test_names_around_articles_and_of_headings():
     assert hx.main_text(f"<div class='has-sidebar'>{body}</div>{comments}") == want
 
 
+PROSE = "This is a sentence of the article that is long enough, and another one follows it here. "
+
+
+def test_blocks_keep_their_text():
+    assert hx.main_text("<article><p>foo\u200bbar " + PROSE + "</p></article>") == "foo\u200bbar " + PROSE.strip()
+    line = "<p>The formula <math><mi>x</mi></math> holds. Press <button>OK</button> now, <svg><text>12</text></svg> <object>of</object> it.</p>"
+    assert hx.main_text(f"<article><p>{PROSE}</p>{line}</article>") == PROSE.strip() + "\nThe formula x holds. Press OK now, 12 of it."
+    page = f"<article><h1>T</h1><p>{PROSE}</p><section class='related work'><h2>Related work</h2><p>{PROSE}2</p></section><div class='legal-side'><p>{PROSE}3</p></div><div class=related><h3>Related</h3><ul><li><a href=x>Another article</a></ul></div></article>"
+    assert hx.main_text(page).split("\n") == ["T", PROSE.strip(), "Related work", PROSE + "2", PROSE + "3"]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>x ", "<p><b>x ", "<ul><li><a>x "):
+        began = time.perf_counter()
+        hx.main_text(unit * 8000 + "<p>end</p></span>" * 500)
+        assert time.perf_counter() - began < 4, unit
+
+
+def test_generated_pages():
+    rnd = random.Random(11)
+    say = lambda n: " ".join(rnd.choice(("alpha", "beta", "gamma", "delta", "of", "the", "and")) + rnd.choice(("", "", ",")) for _ in range(n)).strip(",") + "."
+    hit = kept = true = 0
+    for k in range(60):
+        links = lambda n: "<ul>" + "".join(f"<li><a href='/{i}'>{rnd.choice('ABC')} link {k} {i}</a></li>" for i in range(n)) + "</ul>"
+        body = [("h1", f"Title {k}")] + [(rnd.choice(("p", "p", "p", "h2", "li", "blockquote")), f"{i} {say(rnd.randint(2, 60))}") for i in range(rnd.randint(3, 12))]
+        inner = "".join(f"<{t}>{x}</{t}>" for t, x in body)
+        wrap = rnd.choice(("<article>{}</article>", "<main>{}</main>", "<div class='page'><article class='post'>{}</article></div>"))
+        around = [f"<nav>{links(5)}</nav>", f"<header><a href='/'>{say(3)}</a></header>", f"<div class='cookie-banner'>{say(12)}</div>", wrap.format(inner), f"<aside>{say(20)}{links(3)}</aside>", f"<div class='comments'><p>{say(15)}</p></div>", f"<form><p>{say(5)}</p></form>", f"<footer>{say(8)}</footer>"]
+        want, got = [x for _, x in body], hx.main_text("<html><body>" + "\n".join(around) + "</body></html>").split("\n")
+        hit += len(set(want) & set(got))
+        kept, true = kept + len(got), true + len(want)
+    assert hit >= 0.97 * true and hit >= 0.97 * kept
+
+
 def test_min_cut_is_least():
     rnd = random.Random(0)
     for _ in range(150):
@@ -135,6 +171,22 @@ def test_classifier_learns_and_keeps_its_fold(spark):
     assert qc.quality_classifier(docs.limit(0), labels).count() == 0
 
 
+def test_training_sample_is_of_whole_rows(spark, monkeypatch):
+    rows = [(k % 40, ("Good words here. " if k % 2 else "bad | bad | ") * (20 + 300 * (k == 7))) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(qc, "fit", lambda x, off, y, **_: seen.append((np.diff(off), y)) or {})
+    qc.train(docs, labels)
+    qc.train(docs, labels, max_documents=5)
+    qc.train(docs, labels, max_passages=9)
+    size, y = seen[0]
+    train = [k for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    texts = {(k, t) for k, t in rows if k in train}
+    assert len(y) == len(texts) and sorted(size) == sorted(-(-len(t.split()) // qc.PASSAGE) for _, t in texts)
+    assert 1 <= len(seen[1][1]) <= 5 and 1 <= len(seen[2][1]) and (seen[2][0].sum() <= 9 or len(seen[2][1]) == 1)
+
+
 def test_fit_separates_bags():
     rng = np.random.default_rng(0)
     x, off, y = rng.normal(size=(12, 5)), np.array([0, 3, 7, 12]), np.array([1.0, 0.0, 1.0])
@@ -207,3 +259,51 @@ def test_pipeline(spark, docs, rows, tmp_path, tok):
         by.setdefault(r.doc_id, []).append(len(tok.encode(r.text, add_special_tokens=False).ids) + 1)
     assert sorted(x.n_tokens for x in kept["token_binary"]) == sorted(n for v in by.values() for n in v)
     assert sorted(tuple(r) for r in cp.run(spark, sf).collect()) == sorted(tuple(r) for r in kept["token_binary"])
+
+
+def test_pipeline_against_brute_force(spark, rows, tmp_path, tok):
+    """The stages that make no choice by seed, recomputed from their definitions."""
+    import re
+
+    import corpus_pipeline as cp
+    from tests.llm.test_ngram_jaccard import shingles
+    from tests.llm.test_text_ops import quality_brute
+
+    table = [r[:5] for r in rows] + [(None, rows[0][1], "de", "b", 1), (700, rows[0][1], "de", "hot", 1), (700, "Another text that is unlike all others but bears an id twice, with words enough.", "de", "b", 1)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long")
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([(1, "x y")], "item_id long, text string").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    sf = str(tmp_path / "sf")
+    good = cp.keep_quality(spark, docs, sf)
+    passed = [tuple(r) for r in good.collect()]
+    base = lambda t: (lambda c: c[0] < 10 or 100 * c[4] > 20 * c[0])(quality_brute(t))
+    assert all(not base(t[1]) for t in passed) and {r[0] for r in table if not base(r[1])} >= {t[0] for t in passed}
+    good.write.parquet(str(tmp_path / "good"))
+    near = cp.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "good")), sf)
+    sets = [shingles(t[1]) for t in passed]
+    group = [k for k in range(len(passed))]
+    for _ in passed:  # labels go round until nothing changes
+        for i in range(len(passed)):
+            for j in range(len(passed)):
+                n = len(sets[i] & sets[j])
+                if i != j and 100 * n >= 60 * (len(sets[i]) + len(sets[j]) - n):
+                    group[i] = group[j] = min(group[i], group[j])
+    least = {}
+    for k, t in enumerate(passed):
+        if t[0] is not None:
+            least[group[k]] = min(t[0], least.get(group[k], t[0]))
+    want = {(t[0], t[1]) for k, t in enumerate(passed) if t[0] is None or t[0] == least[group[k]]}
+    kept = [(r.doc_id, r.text) for r in near.collect()]
+    assert set(kept) == want and len(kept) == len(want) and {700} <= {k for k, _ in kept} and (None, rows[0][1]) in kept
+    near.write.parquet(str(tmp_path / "near"))
+    clean = cp.remove_benchmarks(spark, spark.read.parquet(str(tmp_path / "near")), sf)
+    assert sorted((r.text for r in clean.collect())) == sorted(re.sub(r"\bx y\b", " ", t) for _, t in kept)
+
+
+def test_pipeline_over_nothing(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert cp.run(spark, sf).count() == 0

@@ -33,8 +33,6 @@ def test_expressions(spark):
     assert one(spark, expr.bucket(F.lit("wort"), 64)) == int.from_bytes(hashlib.md5(b"wort").digest()[:4], "big") % 64
     assert one(spark, expr.overlap_score(F.lit("Gold plan gold"), F.lit("the gold one"))) == 0.5
     assert one(spark, document_type(F.lit(" Contract "))) == "legal"
-    assert one(spark, expr.api_text(F.lit(" \n"))) == " "
-    assert one(spark, expr.prefixed(F.lit("q"), "multilingual-e5", True)) == "query: q"
     rows = F.array(F.array(F.lit("a"), F.lit("b|c")), F.array(F.lit(None).cast("string")), F.array(F.lit("1\n2")))
     assert one(spark, expr.markdown_table(rows)) == "| a | b\\|c |\n| --- | --- |\n| 1 2 |  |"
     got = one(spark, expr.sparse_from_weights(F.create_map(F.lit(9), F.lit(0.5), F.lit(2), F.lit(1.0), F.lit(4), F.lit(0.0))))
@@ -49,6 +47,90 @@ def test_hash_vectors(spark):
     assert len(sparse) == 1 and sorted(sparse[0]["values"]) == [1.0, 2.0]
 
 
+def test_hash_vectors_by_another_way(spark):
+    df = spark.createDataFrame([(1, " B a  b "), (2, "")], "id long, t string")
+    sparse = hash_sparse(df, "id", "t", way="sha1").collect()
+    number = lambda w: int(hashlib.sha1(w.encode()).hexdigest()[:8], 16) % 1_000_000
+    assert [(r.id, dict(zip(r.indices, r["values"]))) for r in sparse] == [(1, {number("a"): 1.0, number("b"): 2.0})]
+    dense = {r.id: r.dense for r in hash_dense(df, "id", "t", way="sha1").collect()}
+    assert abs(sum(x * x for x in dense[1]) - 1) < 1e-12 and dense[2] == [0.0] * 64
+
+
+def test_limits_are_cut_before_the_shuffle(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0], "a b")], "query_id long, dense array<double>, query string")
+    p = spark.createDataFrame([(k, [1.0, float(k)], "a c") for k in range(9)], "point_id long, dense array<double>, content string")
+    near, words = search.dense_topk(q, p, 3), search.bm25_topk(q, p, 3)
+    for df in (near, words, search.rerank_overlap(words.withColumn("position", F.col("rank")).join(q, "query_id").join(p, "point_id"), 2)):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.point_id for r in near.orderBy("rank").collect()] == [0, 1, 2]
+    plan = hash_dense(p, "point_id", "content")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+class Flaky:
+    def __init__(self, replies):
+        self.replies = list(replies)
+
+    def __call__(self, *_, **__):
+        now = self.replies.pop(0)
+        if isinstance(now, Exception):
+            raise now
+        return now
+
+
+def test_adapters(monkeypatch):
+    import pickle
+    import sys
+    import types
+
+    from lakeseek.operators import adapters as ad
+
+    monkeypatch.setattr("lakeseek.functions.retry.time.sleep", lambda _: None)
+    for name in ("fastembed", "cohere", "FlagEmbedding", "openai", "anthropic"):
+        monkeypatch.setitem(sys.modules, name, None)
+    for make in (lambda: ad.FastEmbedDense().embed_queries(["x"]), lambda: ad.BgeM3().embed_queries(["x"]), lambda: ad.CohereDense().embed_queries(["x"]), lambda: ad.BgeReranker()([("q", "t")]), lambda: ad.AnthropicLanguage("m")("p")):
+        with pytest.raises(ConfigurationError):
+            make()
+    said = []
+    fake = types.SimpleNamespace(
+        TextEmbedding=lambda model_name: types.SimpleNamespace(embed=lambda t, batch_size: (said.append(list(t)), [[1, 2]] * len(t))[1]),
+        SparseTextEmbedding=lambda model_name: types.SimpleNamespace(embed=lambda t, batch_size: [types.SimpleNamespace(indices=[3, 1], values=[0.5, 0.0])], query_embed=lambda t: [types.SimpleNamespace(indices=[7], values=[1])]),
+    )
+    monkeypatch.setitem(sys.modules, "fastembed", fake)
+    dense = ad.FastEmbedDense(dimension=2)
+    assert dense.embed_documents(["a"]) == [[1.0, 2.0]] == dense.embed_queries(["b"]) and said == [["passage: a"], ["query: b"]]
+    assert pickle.loads(pickle.dumps(dense)).__dict__ == {"name": dense.name, "dimension": 2, "batch": 32}
+    assert ad.FastEmbedSparse().embed_documents(["a"]) == [{3: 0.5}] and ad.FastEmbedSparse().embed_queries(["a"]) == [{7: 1.0}]
+    flag = types.SimpleNamespace(
+        BGEM3FlagModel=lambda name: types.SimpleNamespace(encode=lambda t, batch_size, return_dense, return_sparse: {"dense_vecs": [[0.5]]} if return_dense else {"lexical_weights": [{"5": 0.25}]}),
+        FlagReranker=lambda name: types.SimpleNamespace(compute_score=lambda pairs, normalize: [len(t) for _, t in pairs]),
+    )
+    monkeypatch.setitem(sys.modules, "FlagEmbedding", flag)
+    assert ad.BgeM3().embed_documents(["x"]) == [[0.5]] and ad.BgeM3(sparse=True).embed_queries(["x"]) == [{5: 0.25}]
+    assert ad.BgeReranker()([("q", "ab"), ("r", "c"), ("q", "abc")]) == [2.0, 1.0, 3.0]
+    embed = Flaky([TimeoutError(), types.SimpleNamespace(embeddings=types.SimpleNamespace(float_=[[1], [2]])), ValueError("no")])
+    ranked = types.SimpleNamespace(results=[types.SimpleNamespace(index=1, relevance_score=0.9), types.SimpleNamespace(index=0, relevance_score=0.1)])
+    chat = types.SimpleNamespace(message=types.SimpleNamespace(content=[types.SimpleNamespace(text='["x"]')]))
+    monkeypatch.setitem(sys.modules, "cohere", types.SimpleNamespace(ClientV2=lambda api_key: types.SimpleNamespace(embed=embed, rerank=lambda **_: ranked, chat=lambda **_: chat)))
+    cohere = ad.CohereDense(dimension=1)
+    assert cohere.embed_documents(["a", " "]) == [[1.0], [2.0]] and ad.for_api(["a" * 9, "\n"], 4) == ["aaaa", " "]
+    with pytest.raises(EmbeddingError):
+        cohere.embed_queries(["a"])
+    assert ad.CohereReranker()([("q", "a"), ("q", "b")]) == [0.1, 0.9] and ad.CohereLanguage()("p") == '["x"]'
+    message = types.SimpleNamespace(choices=[types.SimpleNamespace(message=types.SimpleNamespace(content='["refund"]'))])
+    create = Flaky([ConnectionError(), message])
+    monkeypatch.setitem(sys.modules, "openai", types.SimpleNamespace(OpenAI=lambda api_key, base_url: types.SimpleNamespace(chat=types.SimpleNamespace(completions=types.SimpleNamespace(create=create)))))
+    assert expand("q", ad.OpenAiLanguage("m")) == ["refund"]
+    said = types.SimpleNamespace(content=[types.SimpleNamespace(text="ok")])
+    monkeypatch.setitem(sys.modules, "anthropic", types.SimpleNamespace(Anthropic=lambda api_key: types.SimpleNamespace(messages=types.SimpleNamespace(create=lambda **_: said))))
+    assert ad.AnthropicLanguage("m")("p") == "ok"
+    rerank = types.ModuleType("fastembed.rerank.cross_encoder")
+    rerank.TextCrossEncoder = lambda model_name: types.SimpleNamespace(rerank=lambda q, t: [0.0] * (len(t) - 1))
+    monkeypatch.setitem(sys.modules, "fastembed.rerank.cross_encoder", rerank)
+    with pytest.raises(RerankingError):
+        ad.FastEmbedReranker()([("q", "a")])
+
+
 def test_times_and_filters(spark):
     assert parse_time("2024-01-01T00:00:00Z") == parse_time("2024-01-01T00:00:00") == 1704067200.0 and parse_time(True) == 1.0
     with pytest.raises(ValueError):
@@ -239,7 +321,8 @@ class Words:
     embed_queries = embed_documents
 
 
-class FakePage:
+FAKE_PDF = """
+class Page:
     def __init__(self, text, tables):
         self.text, self.tables = text, tables
 
@@ -252,21 +335,23 @@ class FakePage:
         return self.tables
 
 
-class FakePdf:
-    pages = [FakePage("Preise\nsiehe unten", [[["plan", None], ["gold|x", "20"]], [["one row"]]]), FakePage("Ende", None)]
+class open:
+    pages = [Page("Preise\\nsiehe unten", [[["plan", None], ["gold|x", "20"]], [["one row"]]]), Page("Ende", None)]
+
+    def __init__(self, f):
+        pass
 
     def __enter__(self):
         return self
 
     def __exit__(self, *_):
         pass
+"""
 
 
-def test_pdf_and_sparse_plug_ins(spark, tmp_path, monkeypatch):
-    import sys
-    import types
-
-    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda f: FakePdf()))
+def test_pdf_and_sparse_plug_ins(spark, tmp_path):
+    (tmp_path / "pdfplumber.py").write_text(FAKE_PDF)
+    spark.sparkContext.addPyFile(str(tmp_path / "pdfplumber.py"))  # files are read by tasks
     (tmp_path / "Liste A.pdf").write_bytes(b"%PDF")
     e = Lakeseek(spark, str(tmp_path / "s"), Settings(sparse_backend="plugin"), sparse_embedder=Words)
     assert e.ingest_document(str(tmp_path / "Liste A.pdf"), "pdf") == "liste-a"
@@ -286,5 +371,19 @@ def test_batches_and_streams(spark, tmp_path):
     ingest_stream(e, stream, str(tmp_path / "ck")).awaitTermination()
     assert [(r["version"], r["is_active"]) for r in e.history("d")] == [(1, False), (2, True)]
     assert e.store.latest().count() == 2
+    # a replayed batch is the same ingest, and a half-made one is finished once
+    batch = spark.createDataFrame([("f", "text", "again words")], "document_id string, document_type string, content string")
+    assert [r.version for r in e.ingest(batch, ingest_id="b-1").collect()] == [r.version for r in e.ingest(batch, ingest_id="b-1").collect()] == [1]
+    e.store.append_ingests = lambda _: (_ for _ in ()).throw(RuntimeError("died"))
+    with pytest.raises(RuntimeError):
+        e.ingest(batch, ingest_id="b-2")
+    del e.store.append_ingests
+    assert e.ingest(batch, ingest_id="b-2").first().version == 2 and len(e.history("f")) == 2
+    every, total = e.store.postings()
+    assert every.where("term = 'again'").count() == 2 and total.first()["n"] == e.store.points().count()
+    with e.store.claim():
+        with pytest.raises(StoreError), e.store.claim(wait=0.1):
+            pass
+    assert e.store.deactivate("f", 2e9, "later") == 1
     active = e.store.scroll(F.col("is_active"), ("document_id", "content")).collect()
     assert {r.content for r in active} == {"second words", "third"}
