@@ -122,6 +122,19 @@ class Index:
         self.pairs = np.unique(np.array([a * (len(self.vocab) + 1) + b for a, b in pairs], np.int64))
         self.names = [None if i is None else str(i) for i, _ in items]
 
+    def state(self) -> dict:
+        """What a walk needs, as plain values: workers know this class by value, so pickle finds no name for it."""
+        return {**self.__dict__, "sam": (self.sam.link, self.sam.length)}
+
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        """The automaton of a ``state``; it walks, but takes no further items."""
+        index = cls.__new__(cls)
+        index.__dict__.update(state)
+        index.sam = SuffixAutomaton()
+        index.sam.step, (index.sam.link, index.sam.length) = [], state["sam"]
+        return index
+
     def at_window(self, v: int) -> int:
         """The state of the last ``window`` words of a match at ``v``."""
         link, length = self.sam.link, self.sam.length
@@ -198,10 +211,9 @@ def build_shards(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
                 k += 1
             name = f"{root}/{ctx.partitionId()}-{len(names)}.pickle"
             draft = f"{name}.{ctx.taskAttemptId()}"
-            index = Index(rows[:k], window)
-            index.sam.step = []
+            state = Index(rows[:k], window).state()
             with fs.open_output_stream(draft) as f:
-                f.write(pickle.dumps(index, pickle.HIGHEST_PROTOCOL))
+                f.write(pickle.dumps(state, pickle.HIGHEST_PROTOCOL))
             fs.move(draft, name)
             names.append(f"{path}/{ctx.partitionId()}-{len(names)}.pickle")
             rows = rows[k:]
@@ -221,7 +233,7 @@ def _load(file: str) -> Index:
             kept.popitem(last=False)
         fs, name = file_system(file)
         with fs.open_input_stream(name) as f:
-            kept[file] = pickle.loads(f.read())
+            kept[file] = Index.of(pickle.loads(f.read()))
     return kept[file]
 
 

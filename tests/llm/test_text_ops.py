@@ -381,3 +381,21 @@ def test_spans_are_cut(spark, docs, rows):
     assert clean.count() == len(rows)
     whole = spark.createDataFrame([(1, rows[7][1])], "item_id long, text string")
     assert {r[0] for r in rows} - {r.doc_id for r in dc.decontaminate(docs, whole).collect()} == {7}
+
+
+def test_automata_are_written_as_plain_values(spark):
+    """Workers know the package by value, so a shard must not need its classes by name."""
+    import pickletools
+
+    from lakeseek.llm._shared import file_system
+
+    items = [(1, "a b c d"), (None, "b c"), (3, "x")]
+    (file,) = dc.build_shards(spark.createDataFrame(items, "item_id long, text string"), window=3)
+    fs, name = file_system(file)
+    with fs.open_input_stream(name) as f:
+        raw = f.read()
+    assert not any("lakeseek" in str(arg) for _, arg, _ in pickletools.genops(raw))
+    w = dc.tx.scan(*dc.tx.texts(dc.pa.array(["z a b c d z b c", "x"])), dc.tx.ALNUM, lower=True)
+    hit, found = dc.all_hits([file], w)
+    assert hit.tolist() == [False, True, True, True, True, False, True, True, True]
+    assert found == {0: {"1", None}, 1: {"3"}}
