@@ -140,6 +140,35 @@ def test_family_finds_every_repeat():
 # 4
 
 
+def test_families_are_of_bounded_size():
+    """One gram, or many, in a task: the same ranges whatever a family holds, and no memory for all suffixes at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(0)
+    n, length = 30_000, 200
+    shared = rnd.integers(97, 123, (40, 336), dtype=np.uint8)
+    body = rnd.integers(97, 123, (n, 336), dtype=np.uint8)
+    for k in range(0, n, 3):  # the anchor's gram and a part around it is another's
+        a, b = rnd.integers(0, 137), rnd.integers(200, 337)
+        body[k, a:b] = shared[k % 40, a:b]
+    for grams in (1, 500):
+        gram = np.arange(n) % grams
+        columns = [pa.array(gram), pa.array(np.arange(n)), pa.array(np.full(n, 136, np.int32)), pa.array([x.tobytes() for x in body], pa.binary()), pa.array(np.arange(n) % 7 == 0)]
+        table = pa.table(columns, names=["gram", "context", "left", "body", "twice"])
+        found, peak = {}, {}
+        for suffixes in (50_000, 1 << 40):
+            tracemalloc.start()
+            found[suffixes] = sorted(r for b in sd.covered_ranges(iter(table.to_batches(1000)), length, suffixes) for r in zip(*(c.to_pylist() for c in b.columns)))
+            peak[suffixes] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+        print(grams, peak, len(found[50_000]))
+        assert found[50_000] == found[1 << 40] and len(found[50_000]) > n // 4
+        assert peak[50_000] < peak[1 << 40] / 2
+    assert list(sd.covered_ranges(iter([]), length)) == []
+
+
 def quality_brute(x):
     x = x or ""
     w = re.findall(WORD, x)
