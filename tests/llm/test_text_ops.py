@@ -336,6 +336,39 @@ def test_quotations_hide_no_passage(spark, quotes):
     assert got == {x for a, b in pairs for x in ((ids[a], ids[b]), (ids[b], ids[a]))}
 
 
+def test_all_places_of_repeated_seeds_meet():
+    rnd = random.Random(3)
+    x, y = ([sorted(rnd.sample(range(3000), n)) for n in sizes] for sizes in ((1, 40, 3, 200, 0), (5, 60, 4, 300, 9)))
+    flat = lambda v: (np.array([p for g in v for p in g]), np.cumsum([0, *map(len, v)])[:-1], np.array([*map(len, v)]))
+    rows = [r for part in sc.meetings(*flat(x), *flat(y), 50) for r in zip(*(c.tolist() for c in part))]
+    for i, (one, two) in enumerate(zip(x, y)):
+        met = np.zeros((len(one), len(two)), bool)
+        for _, a, b, c, d in (r for r in rows if r[0] == i):
+            met |= np.outer((np.array(one) >= a) & (np.array(one) <= b), (np.array(two) >= c) & (np.array(two) <= d))
+        assert met.all()
+    assert any(a < b and c < d for _, a, b, c, d in rows)
+
+
+@pytest.mark.parametrize("texts", [2, 5])
+def test_passages_of_repeated_seeds(spark, texts):
+    rnd = random.Random(texts)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    phrases = [say(7) for _ in range(9)]
+
+    def scattered():
+        return [w for j in rnd.sample(range(9), 9) for w in (*phrases[j], *say(12), *phrases[(j + 3) % 9], *say(70))]
+
+    rows = []
+    for k in range(texts):  # the passage is at another place among those of its seeds in each text, and no seed lies across phrases
+        whole = [w for p in phrases for w in (*p, *say(1))]
+        before = [w for _ in range(k + 1) for w in scattered()]
+        rows.append((k, " ".join([*say(60), *before, *whole, *say(70), *[w for _ in range(texts - k) for w in scattered()]]), 60 + len(before)))
+    rows += [(90 + k, "again and " * 10_000 + " ".join(say(60)), None) for k in range(3)]
+    got = sc.fuzzy_passages(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    for k, _, at in rows:
+        assert any(r.doc_id == k and (at is None or r.start <= at + 5 and r.end >= at + 58) for r in got), k
+
+
 def test_recall_of_changed_passages(spark):
     rnd = random.Random(9)
     say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
