@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._shared import file_system, shared_dir, small_batches
+from ._shared import file_system, shared_dir, small_batches, tidied
 
 #: Words of the items of one automaton; an item of more is an automaton by itself. A loaded one takes some 100 MB.
 SHARD_WORDS, KEPT_SHARDS = 150_000, 2
@@ -220,7 +220,7 @@ def build_shards(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 
     tasks = max(1, math.ceil(words / shard_words))
-    return sorted(r[0] for r in items.repartition(tasks, "id", "text").mapInArrow(build, "file string").collect())
+    return sorted(r[0] for r in items.repartition(tasks, "id", "text").mapInArrow(tidied(build), "file string").collect())
 
 
 def _load(file: str) -> Index:
@@ -280,7 +280,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                 digest[d] = hashlib.sha256(",".join(sorted(i for i in items if i is not None)).encode()).hexdigest()
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.counts.astype(np.int64)), pa.array(n_hit), pa.array(n_items), pa.array(digest, pa.string()), pa.array(n_hit > 0)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, max_coverage: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -317,4 +317,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
                     part = part.filter(pa.array(keep))
             yield part
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as tx
-from ._shared import small_batches
+from ._shared import small_batches, tidied
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -199,7 +199,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
                 more += [pa.array(base_failed(counts)), pa.array(verdict < 0), pa.array([names[v] if v >= 0 else None for v in verdict], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

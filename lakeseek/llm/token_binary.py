@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._shared import file_system, shared_dir, small_batches
+from ._shared import file_system, shared_dir, small_batches, tidied
 
 MAGIC = b"LSRANS1\n"
 LANES = 2048
@@ -313,7 +313,7 @@ def id_counts(docs: DataFrame, tokenizer: str, text: str = "text", end: int = 2)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text).mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([end, *(r[0] for r in rows)]) + 1, np.int64)
     for i, n in rows:
         counts[i] = n
@@ -441,7 +441,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_
         yield pa.RecordBatch.from_arrays([pa.array([ctx.partitionId()], pa.int64()), pa.array([name]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=["part", "name", "docs", "ids"])
 
     ordered = docs.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = ordered.mapInArrow(run, "part long, name string, docs long, ids long").collect()
+    rows = ordered.mapInArrow(tidied(run), "part long, name string, docs long, ids long").collect()
     parts = [(r[1], r[2], r[3]) for r in sorted(rows)]
     with fs.open_output_stream(f"{root}/index.json") as f:
         f.write(json.dumps({"tokenizer": tokenizer.rsplit("/", 1)[-1], "end": end, "parts": parts}).encode())
@@ -498,7 +498,7 @@ def read_tokens(spark: SparkSession, path: str, schema, with_ids: bool = False)
 
     if not rows:
         return spark.createDataFrame([], out)
-    return spark.createDataFrame(rows, "part int, name string, start long").repartitionById(len(rows), F.col("part")).mapInArrow(run, out)
+    return spark.createDataFrame(rows, "part int, name string, start long").repartitionById(len(rows), F.col("part")).mapInArrow(tidied(run), out)
 
 
 def token_binary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = 2, path: str | None = None) -> DataFrame:

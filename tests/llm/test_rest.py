@@ -13,6 +13,7 @@ from lakeseek.llm import _text as tx
 from lakeseek.llm import html_extract as hx
 from lakeseek.llm import quality_classifier as qc
 from lakeseek.llm import token_binary as tb
+from lakeseek.llm._shared import tidied
 from lakeseek.llm.components import components
 from lakeseek.llm.queries import tokenizer_path
 
@@ -307,3 +308,23 @@ def test_pipeline_over_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     assert cp.run(spark, sf).count() == 0
+
+
+def test_workers_give_memory_back():
+    """After a task that took 300 MB in pieces which malloc keeps."""
+    kept = []
+
+    def hungry(batches):
+        for batch in batches:
+            blocks = [bytearray(60_000) for _ in range(5000)]
+            kept.append(bytearray(60_000))  # at the heap's end, so that it can't shrink by itself
+            del blocks
+            yield batch
+
+    def resident(run):
+        list(run(iter([1])))
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4 // 1024
+
+    plain = resident(hungry)
+    assert resident(tidied(hungry)) < plain - 150
