@@ -391,6 +391,48 @@ def test_recall_of_changed_passages(spark):
     assert len(must) == len(texts) and hit <= must and len(hit) >= 0.98 * len(must), len(hit) / len(must)
 
 
+def test_copies_give_no_seeds(monkeypatch):
+    rnd = random.Random(4)
+    say = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    one, two = say(60), say(60)
+    texts = [" ".join(t) for t in (one, two + say(9), two + say(9), say(99), say(99))] + ["copy " * 4 + " ".join(say(60))] * 2
+    batch = sc._batch(["mark", "text"], [sc.pa.int64(), sc.pa.string()], list(enumerate(texts)))
+    keys = sc.text_key(*sc.tx.texts(sc.pa.array(texts)))
+    name = sc.text_names(batch.column(0), keys)
+    maps = np.zeros(1 << 13, np.uint8), np.zeros(1 << 13, np.uint8)
+    for at in sc.holds.__globals__["_places"](name[6:], 16):
+        maps[0][at >> 3] |= np.left_shift(1, at & 7).astype(np.uint8)
+    assert sc.copied(name, maps).tolist() == [False] * 6 + [True] and not sc.copied(name, (None, maps[1])).any()
+    pieces = list(sc.seed_pieces(iter([batch]), 50, 4, maps))
+    shared = [r for b in sc.shared_seeds(iter(pieces)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    first = np.frombuffer(next(r[3] for r in shared if r[1] < 0), np.int64)
+    places = np.concatenate([sc._places(r[2], r[3]) for r in shared if r[1] >= 0])
+    assert set(np.searchsorted(first, places, "right") - 1) == {1, 2}
+    # texts that no one asks for aren't cut into words
+    sizes, scan = [], sc.tx.scan
+    monkeypatch.setattr(sc.tx, "scan", lambda buf, off, **more: sizes.append(len(off) - 1) or scan(buf, off, **more))
+    named = np.zeros(1 << 13, np.uint8)
+    for at in sc.holds.__globals__["_places"](keys[[3, 6]], 16):
+        named[at >> 3] |= np.left_shift(1, at & 7).astype(np.uint8)
+    (got,) = sc.named_words(iter([batch]), named, maps)
+    words = scan(*sc.tx.texts(sc.pa.array([texts[3], texts[5]])), lower=True).hash >> np.uint64(32)
+    assert sizes == [2] and got.column(0).to_pylist() == keys[[3, 5]].tolist()
+    assert b"".join(got.column(1).to_pylist()) == words.astype("<u4").tobytes()
+
+
+def test_alignments_of_long_texts_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 9000, 16_000), rng.integers(0, 9000, 16_000)
+    tracemalloc.start()
+    pairs = sc.align(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) > 100 and all(a[i] == b[j] for i, j in pairs)
+    assert peak < 25_000_000, peak  # all rows of bits: 32 MB
+
+
 # 10
 
 ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
