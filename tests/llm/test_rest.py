@@ -3,6 +3,7 @@
 import io
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from lakeseek.llm import _text as tx
 from lakeseek.llm import html_extract as hx
 from lakeseek.llm import quality_classifier as qc
 from lakeseek.llm import token_binary as tb
-from lakeseek.llm._shared import tidied
+from lakeseek.llm._shared import drop, tidied, written
 from lakeseek.llm.components import components
 from lakeseek.llm.queries import tokenizer_path
 
@@ -328,3 +329,20 @@ def test_workers_give_memory_back():
 
     plain = resident(hungry)
     assert resident(tidied(hungry)) < plain - 150
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    """Without a further query, after which a listener would let go of the step before."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    for _ in range(3):
+        before = files()
+        table = written(spark.range(20_000, numPartitions=3).selectExpr("id % 997 as k").groupBy("k").count())
+        until = time.time() + 5
+        while files() - before and time.time() < until:
+            time.sleep(0.05)
+        assert not files() - before
+        drop(spark, table)
