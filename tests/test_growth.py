@@ -1,6 +1,16 @@
 """Steps whose cost must not grow faster than the input."""
 
+import math
 import random
+import re
+from collections import Counter
+
+from lakeseek.operators import search
+from lakeseek.operators.search import Best, Nearest
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def texts(n: int, seed: int = 1) -> list[str | None]:
@@ -8,6 +18,28 @@ def texts(n: int, seed: int = 1) -> list[str | None]:
     return [None if k % 29 == 0 else "" if k % 31 == 0 else " ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(1, 30))) for k in range(n)]
 
 
+def test_bm25_makes_no_row_for_a_hit(spark, monkeypatch):
+    docs, asked = texts(400), [(k, t) for k, t in enumerate(texts(40, 2)) if t is not None]
+    words = [Counter(re.findall(r"\w+", t or "")) for t in docs]
+    df = Counter(w for c in words for w in c)
+    mean = sum(map(Counter.total, words)) / len(docs)
+    want = []
+    for i, t in asked:
+        scores = []
+        for d, c in enumerate(words):
+            if common := set(re.findall(r"\w+", t)) & set(c):
+                s = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w in common)
+                scores.append((-round(s, 6), d))
+        want += [(i, d, -s, n) for n, (s, d) in enumerate(sorted(scores)[:7])]
+    monkeypatch.setattr(Nearest, "CELLS", 64 * len(asked))
+    monkeypatch.setattr(Best, "FREQUENT", 5)
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    p = spark.createDataFrame(list(enumerate(docs)), "point_id long, content string").repartition(3)
+    got = search.bm25_topk(q, p, 7)
+    assert sorted((r.query_id, r.point_id, round(r.score, 6), r["rank"]) for r in got.collect()) == sorted(want)
+    assert "Join" not in plan(got)  # hits were joined to rows before
+
+
 def test_reranked_places_are_those_of_the_sql(spark, tmp_path):
     import duckdb
 
