@@ -40,6 +40,23 @@ def test_bm25_makes_no_row_for_a_hit(spark, monkeypatch):
     assert "Join" not in plan(got)  # hits were joined to rows before
 
 
+def test_sparse_search_makes_no_row_for_a_hit(spark):
+    rng = random.Random(3)
+    vector = lambda: {i: float(rng.randint(1, 3)) for i in rng.sample(range(40), rng.randint(0, 9))}
+    docs, asked = [vector() for _ in range(300)], [vector() for _ in range(20)]
+    want = []
+    for i, q in enumerate(asked):
+        hits = sorted((-sum(w * d[t] for t, w in q.items() if t in d), n) for n, d in enumerate(docs) if set(q) & set(d))
+        want += [(i, n, -s, r) for r, (s, n) in enumerate(hits[:6])]
+    column = lambda v: (sorted(v), [v[t] for t in sorted(v)])
+    kind = "struct<indices:array<bigint>,values:array<double>>"
+    q = spark.createDataFrame([(i, column(v)) for i, v in enumerate(asked)], f"query_id long, sparse {kind}")
+    p = spark.createDataFrame([(i, column(v)) for i, v in enumerate(docs)], f"point_id long, sparse {kind}").repartition(3)
+    got = search.sparse_dot_topk(q, p, 6)
+    assert sorted((r.query_id, r.point_id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
+    assert "Join" not in plan(got)  # hits were joined to rows before
+
+
 def test_reranked_places_are_those_of_the_sql(spark, tmp_path):
     import duckdb
 
