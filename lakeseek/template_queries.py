@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators.chunk import chunk_documents
+from .operators.chunk import chunk_documents, spread
 
 
 def quoted(x: str | None) -> str:
@@ -41,7 +41,7 @@ class Template:
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         key = F.col(self.key).cast("string")
-        docs = spark.read.parquet(f"{sf_dir}/{self.table}.parquet").select(F.col(self.key).alias("key"), F.replace(F.lit(self.text), F.lit("@"), key).alias("content"), F.lit(self.kind).alias("document_type"), F.lit(self.source).alias("source"))
+        docs = spread(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"), self.key).select(F.col(self.key).alias("key"), F.replace(F.lit(self.text), F.lit("@"), key).alias("content"), F.lit(self.kind).alias("document_type"), F.lit(self.source).alias("source"))
         return chunked(docs, self.settings)
 
 
@@ -169,7 +169,7 @@ _WORD_SQL = "lpad(CAST(i AS VARCHAR), 9, 'w')"
 def word_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer, a text of 1 to 900 numbered words of nine letters."""
     words = F.transform(F.sequence(F.lit(0), F.expr(f"cast({_COUNT} as int) - 1")), lambda i: F.lpad(i.cast("string"), 9, "w"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.array_join(words, " ").alias("content"))
+    return spread(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey").select(F.col("c_custkey").alias("key"), F.array_join(words, " ").alias("content"))
 
 
 def window_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

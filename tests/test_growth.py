@@ -5,6 +5,10 @@ import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
 from lakeseek.operators import search
 from lakeseek.operators.search import Best, Nearest
 
@@ -60,8 +64,6 @@ def test_sparse_search_makes_no_row_for_a_hit(spark):
 def test_reranked_places_are_those_of_the_sql(spark, tmp_path):
     import duckdb
 
-    import __spark_entry__ as entry
-
     name = "rerank_fail_open"
     docs = [(k, (t or "w1") + " w2" * (k % 7)) for k, t in enumerate(texts(60))]
     turns = [(c, t, "user", f"w{1 + t} w2 w3") for c in (0, 100) for t in range(3)]
@@ -73,3 +75,22 @@ def test_reranked_places_are_those_of_the_sql(spark, tmp_path):
     r = c.execute(entry.oracle_sql()[name])
     columns = [d[0] for d in r.description]
     assert sorted(map(tuple, entry.queries()[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(r.fetchall())
+
+
+@pytest.mark.parametrize("name", ["large_class_methods", "code_chunks", "window_pieces", "word_chunks", "legal_chunks", "sql_dump_chunks", "json_fragments"])
+def test_rows_of_one_file_are_chunked_in_several_tasks(spark, tmp_path, name):
+    n = F.col("id")
+    for table, columns in {
+        "part": (n.alias("p_partkey"), (n % 9).alias("p_size")),
+        "customer": (n.alias("c_custkey"),),
+        "orders": (n.alias("o_orderkey"), F.lit("O").alias("o_orderstatus")),
+        "lineitem": ((n / 4).cast("long").alias("l_orderkey"), (n % 4).alias("l_linenumber"), F.lit("R").alias("l_returnflag")),
+        "events": (n.alias("event_id"), (n % 700).alias("user_id"), F.lit("click").alias("event_type"), n.cast("double").alias("value")),
+    }.items():
+        spark.range(3000).coalesce(1).select(*columns).write.parquet(f"{tmp_path}/{table}.parquet")
+    # the tasks of the stage that chunks: partitions of what its Python step reads
+    node = entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    while "MapInArrow" not in node.nodeName():
+        node = node.children().head()
+    child = node.children().head().toString()
+    assert re.search(r"RepartitionByExpression \[[^\]]*\], 6", child)  # none before: one task for a file
