@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lakeseek.operators import search
 from lakeseek.operators.search import Best, Nearest
+from lakeseek.plans.store import EVENTS, validity
 
 
 def plan(df) -> str:
@@ -94,3 +95,24 @@ def test_rows_of_one_file_are_chunked_in_several_tasks(spark, tmp_path, name):
         node = node.children().head()
     child = node.children().head().toString()
     assert re.search(r"RepartitionByExpression \[[^\]]*\], 6", child)  # none before: one task for a file
+
+
+def test_versions_end_without_meeting_all_deactivations(spark):
+    rng = random.Random(5)
+    log, want = [], []
+    for d in range(60):
+        mine, version = [], 0
+        for seq in range(1, rng.randint(2, 25)):
+            if rng.random() < 0.5:
+                version += 1
+                mine.append((f"d{d}", seq, f"i{seq}", "ingest", version, None, rng.random(), f"t{seq}"))
+            else:
+                mine.append((f"d{d}", seq, f"i{seq}", "deactivate", None, rng.choice([None, *range(1, 9)]), rng.random(), f"t{seq}"))
+        for r in (r for r in mine if r[3] == "ingest"):
+            later = [x for x in mine if x[1] > r[1] and (x[4] == r[4] + 1 or x[3] == "deactivate" and (x[5] is None or r[4] < x[5]))]
+            end = min(later, key=lambda x: x[1], default=None)
+            want.append((r[0], r[4], r[2], r[6], r[7], end and end[6], end and end[7], end is None))
+        log += mine
+    got = validity(spark.createDataFrame(log, EVENTS).repartition(3))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Join" not in plan(got)  # each version met all later deactivations before
