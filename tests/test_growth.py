@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lakeseek.operators import search
+from lakeseek.operators.batches import BATCH_BYTES
+from lakeseek.operators.chunk import chunk_documents, windows
+from lakeseek.operators.embed import hash_dense, hash_sparse
 from lakeseek.operators.search import Best, Nearest
 from lakeseek.plans.store import EVENTS, validity
 
@@ -116,3 +119,11 @@ def test_versions_end_without_meeting_all_deactivations(spark):
     got = validity(spark.createDataFrame(log, EVENTS).repartition(3))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Join" not in plan(got)  # each version met all later deactivations before
+
+
+@pytest.mark.parametrize("step", [lambda d: hash_sparse(d, "key", "content"), lambda d: hash_sparse(d, "key", "content", way="sha1"), lambda d: hash_dense(d, "key", "content"), lambda d: windows(d, "content", 480), chunk_documents])
+def test_workers_get_small_batches(spark, step):
+    session, name = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert session.conf.get(name) != str(BATCH_BYTES)
+    step(session.createDataFrame([(1, "a b")], "key long, content string").select("key", "content"))
+    assert session.conf.get(name) == str(BATCH_BYTES)
